@@ -59,9 +59,15 @@ def window_hashes(codes: np.ndarray, width: int) -> np.ndarray:
     return h
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct values."""
+    values = np.sort(values)
+    return values[np.concatenate(([True], values[1:] != values[:-1]))] if len(values) else values
+
+
 def shingle_set(text: str, width: int = WIDTH) -> np.ndarray:
     """Sorted distinct hashes of the shingles of a text already in normal form."""
-    return np.unique(window_hashes(codes_of(text), width))
+    return distinct(window_hashes(codes_of(text), width))
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -82,14 +88,13 @@ def minwise(shingles: np.ndarray) -> np.ndarray:
     s, bins = shingles[order], bins[order]
     starts = np.searchsorted(bins, np.arange(BINS))
     full = np.diff(np.append(starts, len(s))) > 0
-    out = np.empty((PERMS, BINS), np.uint64)
-    at = starts[full]
-    for i in range(PERMS):
-        h = s * _ODD[i]
-        h ^= h >> np.uint64(31)
-        low = np.minimum.reduceat(h, at)
-        out[i] = low.min()
-        out[i, full] = low
+    h = s[None, :] * _ODD[:, None]
+    h ^= h >> np.uint64(31)
+    low = np.minimum.reduceat(h, starts[full], axis=1)
+    if full.all():
+        return low.ravel()
+    out = np.repeat(low.min(axis=1, keepdims=True), BINS, axis=1)
+    out[:, full] = low
     return out.ravel()
 
 
