@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import near_duplicates, tokenize
+from . import cross_split, near_duplicates, tokenize
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +21,15 @@ def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicate_groups(table(spark, sf_dir, "documents"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = cross_split.cross_split_pairs(table(spark, sf_dir, "documents"))
+    return pairs.select(F.least("train_id", "eval_id").alias("doc_id_a"), F.greatest("train_id", "eval_id").alias("doc_id_b"))
+
+
+def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_split.cross_split_report(table(spark, sf_dir, "documents"))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize.encode(table(spark, sf_dir, "documents"))
 
