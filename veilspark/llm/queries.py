@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cross_split, near_duplicates, tokenize
+from . import cross_split, near_duplicates, normalize, tokenize
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,19 @@ def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicate_groups(table(spark, sf_dir, "documents"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = normalize.found_rows(table(spark, sf_dir, "documents"), "doc_id").withColumn("table_name", F.lit("documents"))
+    spans = normalize.found_rows(table(spark, sf_dir, "predicted_span"), "span_id").withColumn("table_name", F.lit("predicted_span"))
+    return docs.unionByName(spans).select("table_name", "row_id")
+
+
+def p2_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text of both tables in the one form."""
+    docs = normalize.normalise(table(spark, sf_dir, "documents"), "doc_id").withColumn("table_name", F.lit("documents"))
+    spans = normalize.normalise(table(spark, sf_dir, "predicted_span"), "span_id").dropDuplicates(["row_id", "text"]).withColumn("table_name", F.lit("predicted_span"))
+    return docs.unionByName(spans).select("table_name", "row_id", "text")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = cross_split.cross_split_pairs(table(spark, sf_dir, "documents"))
     return pairs.select(F.least("train_id", "eval_id").alias("doc_id_a"), F.greatest("train_id", "eval_id").alias("doc_id_b"))
