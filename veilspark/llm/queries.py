@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cross_split, near_duplicates, normalize, tokenize
+from . import cross_split, near_duplicates, normalize, packing, splitting, tokenize
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,10 +43,31 @@ def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cross_split.cross_split_report(table(spark, sf_dir, "documents"))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p6_pieces(spark, sf_dir).where("piece = 0").select("run_id", "doc_id").distinct()
+
+
+def p6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splitting.split_runs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "deploy_cost"))
+
+
+def p6_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splitting.window_check(table(spark, sf_dir, "documents"), table(spark, sf_dir, "deploy_cost"))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize.encode(table(spark, sf_dir, "documents"))
 
 
+def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pack_plan"))
+
+
+def p9_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = table(spark, sf_dir, "pack_plan")
+    return packing.fill(packing.pack(table(spark, sf_dir, "documents"), plan), plan)
+
+
 def queries() -> dict[str, Query]:
     return {k: v for k, v in globals().items() if k.startswith("p") and k[1:2].isdigit()}
 
