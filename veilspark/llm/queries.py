@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cross_split, near_duplicates, normalize, packing, splitting, tokenize
+from . import cross_split, near_duplicates, normalize, packing, sentences, splitting, tokenize
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,6 +68,14 @@ def p9_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill(packing.pack(table(spark, sf_dir, "documents"), plan), plan)
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p10_sentences(spark, sf_dir).select("doc_id", "start_pos")
+
+
+def p10_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.split(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {k: v for k, v in globals().items() if k.startswith("p") and k[1:2].isdigit()}
 
