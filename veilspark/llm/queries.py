@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cross_split, near_duplicates, normalize, packing, sentences, splitting, tokenize
+from . import cross_split, language, near_duplicates, normalize, packing, sentences, splitting, tokenize
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,6 +55,15 @@ def p6_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.window_check(table(spark, sf_dir, "documents"), table(spark, sf_dir, "deploy_cost"))
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.mislabelled(language.classify(table(spark, sf_dir, "documents")))
+
+
+def p7_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = language.classify(table(spark, sf_dir, "documents"))
+    return c.select("doc_id", "main_lang", "confidence", F.explode("segments").alias("s")).select("doc_id", "main_lang", "confidence", "s.start_pos", "s.end_pos", "s.lang", F.col("s.confidence").alias("segment_confidence"))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize.encode(table(spark, sf_dir, "documents"))
 
