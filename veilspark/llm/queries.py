@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cross_split, language, near_duplicates, normalize, packing, sentences, splitting, tokenize
+from . import answers, cross_split, language, near_duplicates, normalize, packing, sentences, splitting, tokenize
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,23 @@ def p2_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.unionByName(spans).select("table_name", "row_id", "text")
 
 
+def _defects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    weights = language.fit(table(spark, sf_dir, "documents"))
+    pairs = answers.pairs_of(table(spark, sf_dir, "demo_run"), table(spark, sf_dir, "answer"))
+    # both tables go through the operator at once; the sign of the key keeps their ids apart
+    keyed = pairs.withColumn("row_id", F.expr("if(table_name = 'answer', -row_id - 1, row_id)"))
+    found = answers.find_defects(keyed, weights)
+    return found.select(F.expr("if(row_id < 0, 'answer', 'demo_run')").alias("table_name"), F.expr("if(row_id < 0, -row_id - 1, row_id)").alias("row_id"), "defect")
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _defects(spark, sf_dir).where("defect is not null")
+
+
+def p3_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _defects(spark, sf_dir).groupBy("table_name", F.coalesce("defect", F.lit("none")).alias("defect")).agg(F.count("*").alias("n"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = cross_split.cross_split_pairs(table(spark, sf_dir, "documents"))
     return pairs.select(F.least("train_id", "eval_id").alias("doc_id_a"), F.greatest("train_id", "eval_id").alias("doc_id_b"))
