@@ -41,6 +41,8 @@ _OPEN = "([{<\"'“„«‘‚¿¡「『"
 _CLOSE = ")]}>\"'”“»’」』,;:"
 _NUMBER = re.compile(r"^[+\-–#]?[\d.,:/\-]*\d[\d.,:/\-]*$")
 _ALL = "*"
+#: What counts as a word in the statistics; codes, amounts and unspaced scripts do not.
+_PLAIN = re.compile(r"[^\W\d_぀-ヿ㐀-鿿](?:[.'’-]{0,2}[^\W\d_぀-ヿ㐀-鿿])*")
 
 
 def _word_type(word: str) -> tuple[str, bool]:
@@ -65,7 +67,10 @@ def count_words(df: DataFrame) -> DataFrame:
             words = f" {_LINE} ".join(texts).replace("\n", f" {_LINE} ").split()
             types = {}
             for w, n in Counter(words).items():
-                t = types[w] = _word_type(w)
+                t = _word_type(w)
+                if t[0] != "##" and not _PLAIN.fullmatch(t[0]):
+                    t = ("", False)
+                types[w] = t
                 if t[0]:
                     total[lang, "t", t[0], "." if t[1] else ""] += n
                     if w[0].islower():
@@ -75,7 +80,7 @@ def count_words(df: DataFrame) -> DataFrame:
                 if not dot:
                     continue
                 nxt = b.lstrip(_OPEN).rstrip(_CLOSE + ".")
-                if not nxt:
+                if not nxt or not (nxt[0].isdigit() or _PLAIN.fullmatch(nxt)):
                     continue
                 total[lang, "p", ta, "##" if nxt[0].isdigit() else nxt] += n
                 if len(ta) > 5 and ta.isalpha() and not a[0].isupper():
