@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import answers, cross_split, language, near_duplicates, normalize, packing, sentences, splitting, tokenize
+from . import answers, cross_split, language, near_duplicates, normalize, packing, personal, sentences, splitting, tokenize
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,6 +60,14 @@ def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cross_split.cross_split_report(table(spark, sf_dir, "documents"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.found_items(personal.detect(table(spark, sf_dir, "documents")))
+
+
+def p5_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.detect(table(spark, sf_dir, "documents")).select("doc_id", F.col("redacted").alias("text"), F.size("items").alias("items"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p6_pieces(spark, sf_dir).where("piece = 0").select("run_id", "doc_id").distinct()
 
