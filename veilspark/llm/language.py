@@ -45,8 +45,8 @@ LEAST_CONFIDENCE = 0.75
 SLICE = 250_000
 
 _UNIT = re.compile(r"[^\r\n]+")
-_SPLIT = re.compile(r"(?<=[^\W\d_]{3}[.!?])[\"”»)\]]*\s+(?=[\W\d_]*[^\W\d_])|(?<=[\])”»\"][.!?])\s+|(?<=[।؟])\s+|(?<=[。！？])(?![」』”])")
-_NOISE = re.compile(r"\S+\s*(?:@|\(at\)|\[at\]|\bat\b)\s*[^\s.]+(?:\.|\[dot\]|\(dot\)| dot )[a-z]\S*|\S*[@\d_/]\S*|\[[A-Z_]+\]|\b[A-Z]{2,}\b")
+_SPLIT = re.compile(r"[.!?]+[\"”»)\]]*[^\S\n]+|[।؟]\s+|[。！？]+(?![」』”])")
+_MAIL = re.compile(r"[!-~]+ ?(?:@|\(at\)|\[at\]) ?[!-~]+(?:(?: ?[(\[]dot[)\]] ?| dot )[a-z-]+)*|[!-~]+ at [a-z0-9-]+(?:\.[a-z-]+)+")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿]")
 
@@ -65,16 +65,24 @@ def _fold_table() -> np.ndarray:
     return out
 
 
+_ROW_STARTS = frozenset("0123456789 \t")
+_ROW = re.compile(_TABLE_ROW.pattern.removeprefix("^"))
+
+
 def units(text: str) -> list[tuple[int, int]]:
     """[start, end) of the sentences and headings of a text, table rows left out."""
     out = []
     for m in _UNIT.finditer(text):
         a, b = m.span()
-        if _TABLE_ROW.match(m.group()):
+        if text[a] in _ROW_STARTS and _ROW.match(text, a):
             continue
         at = a
         for s in _SPLIT.finditer(text, a, b):
-            out.append((at, s.start()))
+            k = s.start()
+            # a Latin mark ends a sentence behind a word of three letters or a closing mark
+            if text[k] in ".!?" and not (text[max(0, k - 3) : k].isalpha() and k - at > 2 or text[k - 1] in ")]”»\""):
+                continue
+            out.append((at, s.end()))
             at = s.end()
         if at < b:
             out.append((at, b))
@@ -87,6 +95,17 @@ def presence(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     codes, off = canonical(codes, off)
     rows = np.repeat(np.arange(len(texts)), np.diff(off))
     c = _fold_table()[codes]
+    # ASCII tokens with a digit or sign of a code in them say nothing about the language
+    token = (codes > 0x20) & (codes < 0x7F)
+    start = token.copy()
+    start[1:] &= ~token[:-1]
+    start[off[:-1][off[:-1] < len(codes)]] = token[off[:-1][off[:-1] < len(codes)]]
+    number = np.cumsum(start)
+    code = ((codes >= 0x30) & (codes < 0x3A)) | (codes == 0x40) | (codes == 0x5F) | (codes == 0x2F)
+    bad = np.zeros(int(number[-1]) + 1 if len(number) else 1, bool)
+    bad[number[code]] = True
+    bad[0] = False
+    c[bad[number] & token] = 0x20
     space = c == 0x20
     letters = np.bincount(rows[~space], minlength=len(texts))
     # one space between words and around each row
@@ -168,7 +187,8 @@ def _blocks(z: np.ndarray, slots: np.ndarray, starts: np.ndarray, rows: int = 25
 
 
 def _usable(t: str) -> str:
-    return _NOISE.sub(" ", t)
+    """t without e-mail addresses."""
+    return _MAIL.sub(" ", t) if "@" in t or " at " in t or "(at)" in t or "[at]" in t else t
 
 
 def fit(df: DataFrame) -> np.ndarray:
@@ -229,9 +249,9 @@ def segments(text: str, spans: list[tuple[int, int]], got: np.ndarray, letters:
         lang = int(best[k])
         if lang != main:
             t = text[a:b]
-            words = _LETTERS.findall(_usable(t))
+            words = [w for w in _LETTERS.findall(_usable(t)) if len(w) > 1 or not w.isascii() or w.islower()]
             scaled = letters[k] * (3 if _CJK.search(t) else 1)
-            plain = sum(w[0].islower() or not w.isascii() and w.lower() == w.upper() for w in words)
+            plain = sum(w[0].islower() or w.lower() == w.upper() for w in words)
             if (len(words) < 2 and not _CJK.search(t)) or scaled < 10 or plain == 0 or got[k, lang] - got[k, main] < _margin(scaled) or probability[k, lang] < LEAST_CONFIDENCE:
                 lang = main
         if out and out[-1][2] == lang:
