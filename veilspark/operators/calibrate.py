@@ -54,7 +54,7 @@ def fit(df: DataFrame, raw: str, leaked: str, min_block: int = MIN_BLOCK, ranges
     def last(pdf: pd.DataFrame) -> pd.DataFrame:
         return pool_adjacent(pdf.sort_values(["right_edge", "leaks"]).rename(columns={"right_edge": "x", "leaks": "y"}), min_block)
 
-    blocks = rows.withColumn("part", part).groupBy("part").applyInPandas(local, BLOCKS).groupBy(F.lit(0)).applyInPandas(last, BLOCKS)
+    blocks = rows.withColumn("part", part).groupBy("part").applyInPandas(local, BLOCKS).withColumn("one", F.lit(0)).groupBy("one").applyInPandas(last, BLOCKS)
     w = Window.orderBy("right_edge")
     run = w.rowsBetween(Window.unboundedPreceding, 0)
     n, k = F.col("n").cast("double"), F.col("leaks")

@@ -23,8 +23,9 @@ def gold_rows(docs: DataFrame, types: Sequence[str] = IDENTIFYING) -> DataFrame:
 
 def over_redaction(docs: DataFrame) -> DataFrame:
     """Predicted spans that touch no gold character: doc_id, start_pos, end_pos, label."""
-    p = docs.select("doc_id", merged_intervals("gold").alias("gold"), F.explode(usable("pred")).alias("p"))
-    return p.where(covered("gold", F.col("p.start_pos"), F.col("p.end_pos")) == 0).select("doc_id", "p.start_pos", "p.end_pos", "p.label")
+    # two steps: beside a generator, struct fields built in the same select lose their names
+    p = docs.select("doc_id", "pred", merged_intervals("gold").alias("goldmask")).select("doc_id", "goldmask", F.explode(usable("pred")).alias("p"))
+    return p.where(covered("goldmask", F.col("p.start_pos"), F.col("p.end_pos")) == 0).select("doc_id", "p.start_pos", "p.end_pos", "p.label")
 
 
 def per_document(docs: DataFrame, types: Sequence[str] = IDENTIFYING) -> DataFrame:
@@ -58,7 +59,7 @@ def risk_coverage(df: DataFrame, risk: str, leaked: str, budgets: Sequence[float
     """Per budget: forwarded (risk <= budget), held, leaks among each, rates (null for none), whether the rate among the forwarded keeps the budget."""
     grid = F.broadcast(df.sparkSession.createDataFrame([(float(b),) for b in budgets], "budget double"))
     f = F.col(risk) <= F.col("budget")
-    r = df.join(grid).groupBy("budget").agg(F.count("*").alias("documents"), F.count_if(f).alias("forwarded"), F.count_if(f & F.col(leaked)).alias("leaks"), F.count_if(~f & F.col(leaked)).alias("leaks_held"))
+    r = df.select(risk, leaked).join(grid).groupBy("budget").agg(F.count("*").alias("documents"), F.count_if(f).alias("forwarded"), F.count_if(f & F.col(leaked)).alias("leaks"), F.count_if(~f & F.col(leaked)).alias("leaks_held"))
     r = r.withColumn("held", F.col("documents") - F.col("forwarded")).withColumn("coverage", F.bround(F.col("forwarded") / F.col("documents"), 4))
     return r.withColumn("leak_rate", F.bround(F.try_divide("leaks", "forwarded"), 4)).withColumn("leak_rate_held", F.bround(F.try_divide("leaks_held", "held"), 4)).withColumn("budget_respected", F.try_divide("leaks", "forwarded") <= F.col("budget"))
 
