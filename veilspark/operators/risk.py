@@ -7,13 +7,14 @@ import re
 from collections.abc import Sequence
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import HIDDEN, HIDDEN_DIGIT, masked
 from ..schema import IDENTIFYING
-from .spans import covered, merged_intervals
+from .spans import merged_intervals
 
 
 _WORD, _TWO_DIGITS = re.compile(r"\S+"), re.compile(r"[0-9]{2}")
@@ -55,7 +56,31 @@ def with_survivors(docs: DataFrame, spans: str = "pred", redacted_only: bool = F
     s = F.filter(spans, lambda x: x["label"].isin(*types)) if redacted_only else F.col(spans)
     mask = f"_mask_{name}"
     d = docs.withColumn(mask, merged_intervals(s))
-    return d.withColumn(name, F.filter("tokens", lambda t: covered(mask, t["start_pos"], t["end_pos"]) < t["end_pos"] - t["start_pos"])).drop(mask)
+    d = d.withColumn(f"_out{mask}", _uncovered(F.col("tokens.start_pos"), F.col("tokens.end_pos"), F.col(f"{mask}.start_pos"), F.col(f"{mask}.end_pos")))
+    return d.withColumn(name, F.filter("tokens", lambda t, i: F.get(F.col(f"_out{mask}"), i))).drop(mask, f"_out{mask}")
+
+
+def _uncovered(*columns: Column) -> Column:
+    """Which of the sorted or unsorted tokens [a, b) stick out of the disjoint, sorted intervals [x, y): by the covered length up to each place, in Arrow batches."""
+
+    def one(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        if a is None or not len(a):
+            return np.zeros(0, bool)
+        if not len(x):
+            return b > a
+        before = np.concatenate(([0], np.cumsum(y - x)))
+
+        def upto(p: np.ndarray) -> np.ndarray:
+            k = np.searchsorted(x, p, side="right")
+            return before[k] - np.where(k > 0, np.maximum(0, y[k - 1] - p), 0)
+
+        return upto(b) - upto(a) < b - a
+
+    @F.pandas_udf("array<boolean>")
+    def flags(a: pd.Series, b: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([one(*v) for v in zip(a, b, x, y)])
+
+    return flags(*columns)
 
 
 def raw_risk(tokens: Column | str) -> Column:
