@@ -287,7 +287,7 @@ LEARNED = {"en": {"a": {"mr": 0.0, "inc": 0.2, "approx": 0.0}, "c": {("no", "##"
     [
         ("One. The two.", ["One. ", "The two."]), ("Mr. Smith came. The end", ["Mr. Smith came. ", "The end"]), ("Sold to X Inc. The rest", ["Sold to X Inc. ", "The rest"]), ("Case No. 5 is 3.14 now.", ["Case No. 5 is 3.14 now."]),
         ("1. The first\n- second. The third", ["1. The first\n", "- second. ", "The third"]), ('"Stop. Now." wrote he.', ['"Stop. Now." wrote he.']), ('"Stop. Now." The end.', ['"Stop. Now." ', "The end."]), ("你好。再见!", ["你好。", "再见!"]),
-        ("“失败了。请再试。”他说。好", ["“失败了。请再试。”他说。", "好"]), ("Wait ... a bit. J. Smith", ["Wait ... a bit. ", "J. Smith"]), ("2024-01-02\tX Inc. The\t5", ["2024-01-02\tX Inc. The\t5"]), ("  \n\r\n ", []), ("", []), ("Why?! Because", ["Why?! ", "Because"]),
+        ("“失败了。请再试。”他说。好", ["“失败了。请再试。”他说。", "好"]), ("Wait ... a bit. J. Smith", ["Wait ... a bit. ", "J. Smith"]), ("2024-01-02\tX Inc. The\t5", ["2024-01-02\tX Inc. The\t5"]), ("  \n\r\n ", []), ("", []), ("Why?! Because", ["Why?! ", "Because"]), ("なぜですか?QQ58へ送金した。", ["なぜですか?", "QQ58へ送金した。"]), ("see a?b=1 now", ["see a?b=1 now"]),
     ],
 )
 def test_p10_boundaries(text, want):

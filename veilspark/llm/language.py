@@ -11,7 +11,7 @@ first fit puts elsewhere than their label are left out of the second. Everything
 Each sentence (or heading) is scored after its text is brought to one form, without digits, punctuation, codes and addresses. A document's main language is the one of most of its
 letters; a sentence of another language needs a clear margin over the main one. Table rows, single words and lines of names have no language.
 
-Null, empty and blank texts have no language and no rows. Confidence is the softmax of the scores. Repeated doc_ids with the same text count once.
+Null, empty and blank texts have no language and no rows. Confidence is the softmax of the scores. A row given twice is classified twice.
 """
 
 from __future__ import annotations

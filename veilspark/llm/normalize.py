@@ -14,8 +14,7 @@ assignment over the whole batch:
 Rows without a code point that any step could touch are passed by. A row is found if its text differs from its compatibility composition, or holds an invisible
 format character (category Cf, but for joiners between emoji) or a mixed word.
 
-Null texts stay null and are not found, nor are empty ones. Texts of any length are processed whole; a batch is cut by rows only. Row ids repeated with the same
-text count once.
+Null texts stay null and are not found, nor are empty ones. Texts of any length are processed whole; a batch is cut by rows only. A row given twice is normalised twice and found once.
 """
 
 from __future__ import annotations

@@ -6,7 +6,7 @@ first container with room, which the tree of largest free rooms finds in logarit
 unused besides is one partly filled container each.
 
 A text larger than the capacity is divided into full containers and a rest; the rest is an item like any other. Texts of no tokens (null, empty) take no room and lie
-in their group's first container. Plans with a null or unusable tokenizer or capacity have no containers. Repeated doc_ids count once. Other columns are ignored.
+in their group's first container. Plans with a null or unusable tokenizer or capacity have no containers. A row given twice is packed twice. Other columns are ignored.
 """
 
 from __future__ import annotations

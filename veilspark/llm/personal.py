@@ -11,7 +11,7 @@ Replacement: numbers keep their format; their digits and letters are permuted by
 different values different ones. Dates are permuted within the calendar the same way. Names, addresses and e-mail addresses become a typed placeholder with a keyed tag, alike for
 equal values.
 
-Null and empty texts have no items and stay as they are. Where items overlap, those with a word or format of their own win over bare numbers and names, then the earlier, then the longer. Repeated doc_ids with the same text count once.
+Null and empty texts have no items and stay as they are. Where items overlap, those with a word or format of their own win over bare numbers and names, then the earlier, then the longer. A row given twice yields its items twice.
 """
 
 from __future__ import annotations

@@ -11,7 +11,7 @@ Second pass: each period, question or exclamation mark is classified with these
 the sentence around it; a quotation that ends in a mark ends the sentence if a capital follows. Scripts without capitals or spaces end sentences at
 their own full stops. List marks and speakers open the sentence they introduce. A line that is a table row is one sentence.
 
-Null, empty and blank texts have no sentences. Texts are read whole; repeated doc_ids with the same text count once; other columns are ignored.
+Null, empty and blank texts have no sentences. Texts are read whole; a row given twice yields its sentences twice; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -217,7 +217,7 @@ def _line_boundaries(line: str, base: int, own: dict, every: dict, out: list[int
             out.append(base + nxt)
             continue
         mark = line[a]
-        if nxt == b and mark in "!?…" and not _CJK.match(c):
+        if nxt == b and mark in "!?…" and not _CJK.match(c) and not (a and _CJK.match(line[a - 1])):
             continue
         if c in ",;:)]}”»、，；：）—–-" and not (c in "—–-" and nxt > b):
             continue

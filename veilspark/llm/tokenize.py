@@ -10,8 +10,7 @@ Encoding. Text is split by the tokenizer's pattern; each distinct piece is walke
 first, the next shorter one if the state has no such arc, one step back where it has none at all, each position refused at most once. The labels of the path are the ids.
 Decoding emits the labels' bytes.
 
-Null and empty texts give an empty list; special tokens' strings are ordinary text; white space is encoded like any other. Repeated doc_ids with the same text
-count once. Texts of any length are read whole. Other columns are ignored.
+Null and empty texts give an empty list; special tokens' strings are ordinary text; white space is encoded like any other. A row given twice is encoded twice. Texts of any length are read whole. Other columns are ignored.
 """
 
 from __future__ import annotations
