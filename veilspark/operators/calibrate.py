@@ -63,9 +63,11 @@ def fit(df: DataFrame, raw: str, leaked: str, min_block: int = MIN_BLOCK, ranges
 
 def predict(df: DataFrame, blocks: DataFrame, raw: str, upper: bool = True, most_blocks: int = 10_000) -> DataFrame:
     """df with `risk`: of the first block whose right edge is at or above raw, the last block beyond. Blocks are few; their number is checked."""
-    if blocks.limit(most_blocks + 1).count() > most_blocks:
+    found = blocks.select("right_edge", F.col("p_upper" if upper else "p_hat").alias("p")).limit(most_blocks + 1).collect()
+    if len(found) > most_blocks:
         raise ValueError("more calibration blocks than a lookup table holds")
-    table = F.broadcast(blocks.agg(F.sort_array(F.collect_list(F.struct("right_edge", F.col("p_upper" if upper else "p_hat").alias("p")))).alias("blocks")))
+    edges = sorted((float(r.right_edge), float(r.p)) for r in found)
+    table = F.broadcast(df.sparkSession.createDataFrame([(edges,)], "blocks array<struct<right_edge:double,p:double>>"))
     hit = F.try_element_at(F.filter("blocks", lambda b: b["right_edge"] >= F.col(raw)), F.lit(1))["p"]
     return df.join(table).withColumn("risk", F.when(F.col(raw).isNotNull(), F.coalesce(hit, F.try_element_at("blocks", F.lit(-1))["p"]))).drop("blocks")
 

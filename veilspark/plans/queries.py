@@ -11,7 +11,7 @@ from ..functions import text as X
 from ..operators import calibrate, dedupe, evaluate, fairness, pathredact, redact, risk, spans, stats
 from ..operators.detect import baseline_spans, validator_spans
 from ..schema import IDENTIFIER_TYPES
-from ..sources.io import read_table
+from ..sources.io import read_table, spread
 from .oracle import ORACLE
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,11 @@ def _docs(s: SparkSession, d: str) -> DataFrame:
     return read_table(s, d, "documents")
 
 
+def _texts(s: SparkSession, d: str, *more: str) -> DataFrame:
+    """doc_id, text and more, for work on every character."""
+    return spread(_docs(s, d).where("text is not null").select("doc_id", "text", *more))
+
+
 def _pred(s: SparkSession, d: str) -> DataFrame:
     """Predicted spans, rows delivered twice once."""
     return read_table(s, d, "predicted_span").select("span_id", "doc_id", "start_pos", "end_pos", "label", "score").distinct()
@@ -97,7 +102,7 @@ def head_slice(s, d):
 def _hits(s: SparkSession, d: str, pattern: str, keep: Callable | None = None) -> DataFrame:
     h = X.find_all("text", pattern)
     h = F.filter(h, lambda x: keep(x["surface"])) if keep else h
-    return _docs(s, d).select("doc_id", h.alias("h")).where("size(h) > 0").select("doc_id", F.size("h").alias("n"), F.array_join(F.transform("h", lambda x: x["surface"]), "|").alias("surfaces"))
+    return _texts(s, d).select("doc_id", h.alias("h")).where("size(h) > 0").select("doc_id", F.size("h").alias("n"), F.array_join(F.transform("h", lambda x: x["surface"]), "|").alias("surfaces"))
 
 
 @query
@@ -128,19 +133,19 @@ def detect_name_bigram(s, d):
 @query
 def detection_offsets(s, d):
     """Offsets of e-mail addresses, in code points; the surface read back at them."""
-    h = _docs(s, d).select("doc_id", "text", F.explode(X.find_all("text", r"[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]+)+")).alias("h"))
+    h = _texts(s, d).select("doc_id", "text", F.explode(X.find_all("text", r"[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]+)+")).alias("h"))
     return h.groupBy(F.col("h.surface").alias("surface")).agg(F.count("*").alias("n"), F.count_if(X.surface_of("text", "h.start_pos", "h.end_pos") == F.col("h.surface")).alias("at_offset"))
 
 
 @query
 def validators_by_label(s, d):
-    v = _docs(s, d).where("text is not null").select(F.explode(validator_spans("text")).alias("s"))
+    v = _texts(s, d).select(F.explode(validator_spans("text")).alias("s"))
     return v.groupBy("s.label").agg(F.count("*").alias("spans"), F.sum(F.col("s.end_pos") - F.col("s.start_pos")).alias("chars"))
 
 
 @query
 def baseline_spans_by_label(s, d):
-    v = _docs(s, d).where("text is not null").select(F.explode(baseline_spans("text")).alias("s"))
+    v = _texts(s, d).select(F.explode(baseline_spans("text")).alias("s"))
     return v.groupBy("s.label").agg(F.count("*").alias("spans"), F.sum(F.col("s.end_pos") - F.col("s.start_pos")).alias("chars"))
 
 
@@ -256,7 +261,7 @@ def placeholder_integrity(s, d):
 
 @query
 def no_ml_statistics(s, d):
-    return risk.surviving_statistics(_both(s, d))
+    return risk.surviving_statistics(spread(_both(s, d).select("doc_id", "text", "pred")))
 
 
 @query
@@ -268,7 +273,7 @@ def surviving_characters(s, d):
 @query
 def surviving_risk(s, d):
     """Tokens that survive, by the stand-in scorer: count, raw and naive risk under either mask."""
-    b = risk.feature_scorer(_both(s, d).where("text is not null").select("doc_id", "text", "pred"))
+    b = risk.feature_scorer(spread(_both(s, d).where("text is not null").select("doc_id", "text", "pred")))
     rows = risk.with_survivors(risk.with_survivors(b, name="a"), redacted_only=True, name="r")
     raw = rows.select("doc_id", F.size("tokens").alias("tokens"), F.size("a").alias("surviving"), F.size("r").alias("surviving_redacted_only"), risk.raw_risk("a").alias("raw"))
     return raw.select("doc_id", "tokens", "surviving", "surviving_redacted_only", F.round("raw", 6).alias("raw_risk"), F.round(calibrate.naive_risk(F.col("raw")), 6).alias("naive_risk"))

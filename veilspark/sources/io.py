@@ -14,6 +14,12 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core work when a small input has fewer partitions than half the cores; larger inputs keep their scan partitions and aren't shuffled."""
+    cores, n = df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()
+    return df.repartition(cores) if 2 * n <= cores else df
+
+
 def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
     """A corpus of one JSON document per line; a line that does not fit the schema fails the read, a missing doc_type is the empty string."""
     return spark.read.schema(CORPUS).option("mode", "FAILFAST").json(path).na.fill("", ["doc_type"])
@@ -75,4 +81,4 @@ def gate_payload(decisions: DataFrame) -> DataFrame:
     return decisions.select(F.to_json(F.struct(*keep)).alias("payload"))
 
 
-__all__ = ["SPAN", "gate_payload", "head", "inventory", "read_corpus_parquet", "read_files", "read_jsonl", "read_table", "write_guarded", "write_jsonl", "write_report"]
+__all__ = ["SPAN", "gate_payload", "head", "inventory", "read_corpus_parquet", "read_files", "read_jsonl", "read_table", "spread", "write_guarded", "write_jsonl", "write_report"]
