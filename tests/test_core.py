@@ -302,6 +302,47 @@ def test_stream_equals_batch(spark, data, tmp_path):
     assert sorted(map(str, got)) == sorted(map(str, want)) and want
 
 
+def test_tokens_windows_and_labels(spark):
+    from veilspark.operators import tokens
+
+    d = spark.createDataFrame([(0, " ".join(f"w{i}" for i in range(20))), (1, "Anna Bell pays"), (2, ""), (3, None)], "doc_id long, text string")
+    t = tokens.tokenize(d)
+    w = tokens.windows(t, 8, 3).where("doc_id = 0").groupBy("window").agg(F.min("token").alias("a"), F.max("token").alias("b")).orderBy("window").collect()
+    assert [(r.a, r.b) for r in w] == [(0, 7), (5, 12), (10, 17), (15, 19)]
+    gold = spark.createDataFrame([(1, [(0, 9, "name"), (5, 14, "email")])], "doc_id long, spans array<struct<start_pos:int,end_pos:int,label:string>>")
+    got = tokens.bio_labels(t, gold).where("doc_id = 1").orderBy("token").collect()
+    assert [r.label for r in got] == ["B-name", "I-name", "I-email"] and got[0].label_id == BIO_LABELS.index("B-name")
+
+
+def test_routing(spark):
+    from veilspark.operators import route
+
+    d = spark.createDataFrame([(0, "Anna", "[NAME_1]", True), (1, "Bob", "[NAME_1]", False), (2, "Cy", "[NAME_1]", None)], "doc_id long, text string, redacted string, forward boolean")
+    echo = lambda kind: lambda prompts: [f"{kind}: {p.split(chr(10))[-1]}" for p in prompts]
+    got = {r.doc_id: (r.route, r.answer) for r in route.answer(d, "Who?", echo("l"), echo("h")).collect()}
+    assert got == {0: ("hosted", "h: [NAME_1]"), 1: ("local", "l: Bob"), 2: ("local", "l: Cy")}
+    assert {r.route for r in route.answer(d, "Who?", echo("l")).collect()} == {"local"}
+    v = spark.createDataFrame([(0, "[NAME_1]", "Anna")], "doc_id long, ph string, surface string")
+    r = {x.doc_id: x for x in route.restored(route.answer(d, "Who?", echo("l"), echo("h")).where("doc_id = 0"), v).collect()}
+    assert r[0].answer == "h: Anna" and r[0].trustworthy
+
+
+def test_calibration_is_bound_to_its_threshold(spark, tmp_path):
+    df = spark.createDataFrame([(0.01 * i, i % 7 == 0) for i in range(100)], "x double, y boolean")
+    b = calibrate.fit(df, "x", "y")
+    calibrate.save(b, str(tmp_path / "c"), 0.2, "test")
+    assert calibrate.load(spark, str(tmp_path / "c"), 0.2).count() == b.count()
+    with pytest.raises(ValueError):
+        calibrate.load(spark, str(tmp_path / "c"), 0.5)
+
+
+def test_instrument_check(spark):
+    a = spark.createDataFrame([("x", 1, None), ("y", 2, 0.5)], "k string, n long, r double")
+    evaluate.instrument_check(a, a, "k")
+    with pytest.raises(ValueError):
+        evaluate.instrument_check(a, a.where("k = 'x'"), "k")
+
+
 def test_llm_is_not_imported_by_the_rest():
     import pathlib
 

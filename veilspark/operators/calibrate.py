@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schema import BUDGET
@@ -72,6 +72,19 @@ def predict(df: DataFrame, blocks: DataFrame, raw: str, upper: bool = True, most
     return df.join(table).withColumn("risk", F.when(F.col(raw).isNotNull(), F.coalesce(hit, F.try_element_at("blocks", F.lit(-1))["p"]))).drop("blocks")
 
 
+def save(blocks: DataFrame, path: str, threshold: float, fitted_on: str) -> None:
+    """Blocks as JSON, with the detection threshold they hold for."""
+    blocks.coalesce(1).withColumn("threshold", F.lit(threshold)).withColumn("fitted_on", F.lit(fitted_on)).write.mode("overwrite").json(path)
+
+
+def load(spark: SparkSession, path: str, threshold: float) -> DataFrame:
+    """Saved blocks; refused at another threshold than they were fitted for."""
+    b = spark.read.schema("block int, right_edge double, n long, leaks long, p_hat double, p_upper double, threshold double, fitted_on string").json(path)
+    if b.where(F.col("threshold").isNull() | (F.abs(F.col("threshold") - threshold) > 1e-12)).limit(1).count():
+        raise ValueError("the calibration was fitted at another threshold")
+    return b.drop("threshold", "fitted_on")
+
+
 def naive_risk(total: Column) -> Column:
     return 1 - F.exp(-total)
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..schema import IDENTIFYING
 from .spans import covered, drop_overlaps, first_overlapping, merged_intervals, usable
-from .stats import ordered_position
+from .stats import at_coverage, auc, max_coverage, ordered_position, random_gate
 
 
 def gold_rows(docs: DataFrame, types: Sequence[str] = IDENTIFYING) -> DataFrame:
@@ -76,3 +76,27 @@ def expected_calibration_error(bins: DataFrame) -> DataFrame:
     """From the rounded bin means, and how many bins are conservative."""
     n = F.sum("n")
     return bins.agg(F.bround(F.sum(F.col("n") * F.abs(F.col("predicted") - F.col("observed"))) / n, 4).alias("ece"), F.count_if(F.col("predicted") >= F.col("observed")).alias("conservative_bins"), F.count("*").alias("bins"))
+
+
+def arm_report(df: DataFrame, statistic: str, leaked: str, key: str, coverages: Sequence[float], exposures: Sequence[int]) -> DataFrame:
+    """(measure, at, value) of one arm: base rate, AUC, leaks and leak rate at each coverage beside a random gate's, and the largest coverage within each exposure."""
+    base = df.agg(F.avg(F.col(leaked).cast("double")).alias("p"), F.count("*").alias("n"))
+    first = base.select(F.lit("base_rate").alias("measure"), F.lit(0.0).alias("at"), F.col("p").alias("value")).unionByName(auc(df, statistic, leaked).select(F.lit("auc").alias("measure"), F.lit(0.0).alias("at"), F.col("auc").alias("value")))
+    cov = at_coverage(df, statistic, leaked, key, coverages).join(F.broadcast(base))
+    _, sd = random_gate(F.col("p"), F.col("k"), F.col("n"))
+    parts = F.array(*(F.struct(F.lit(name).alias("measure"), F.col("coverage").alias("at"), c.cast("double").alias("value")) for name, c in (("leaks", F.col("leaks")), ("leak_rate", F.col("leak_rate")), ("random_rate", F.col("p")), ("random_sd", sd))))
+    rows = cov.select(F.explode(parts).alias("x")).select("x.*")
+    exp = max_coverage(df, statistic, leaked, key, exposures).join(F.broadcast(base)).select(F.lit("coverage_within").alias("measure"), F.col("budget").cast("double").alias("at"), F.try_divide(F.col("k").cast("double"), F.col("n").cast("double")).alias("value"))
+    return first.unionByName(rows).unionByName(exp)
+
+
+def instrument_check(recomputed: DataFrame, published: DataFrame, key: str) -> None:
+    """Refuse to go on unless a recomputed report equals the published one, cell by cell and null-safe, over the union of keys."""
+    cells = [c for c in published.columns if c != key]
+    r, p = recomputed.select(key, *cells).alias("r"), published.alias("p")
+    differ = F.lit(False)
+    for c in cells:
+        differ = differ | ~F.col(f"r.{c}").eqNullSafe(F.col(f"p.{c}"))
+    bad = r.join(p, F.col(f"r.{key}") == F.col(f"p.{key}"), "full_outer").where(differ).limit(5).collect()
+    if bad:
+        raise ValueError(f"the recomputed report differs from the published one: {bad}")

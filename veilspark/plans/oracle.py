@@ -170,6 +170,8 @@ i AS (SELECT *, sum(br::INT) OVER (PARTITION BY doc_id ORDER BY st, en, lb ROWS
 SELECT doc_id, min(st)::BIGINT AS start_pos, max(en)::BIGINT AS end_pos, min(lb) AS label, round_even(min(sc), 4) AS score, count(*) AS tokens FROM i GROUP BY doc_id, g HAVING count(*) > 1""",
     "window_dedupe_max_posterior": """SELECT doc_id, start_pos::BIGINT AS start_pos, end_pos::BIGINT AS end_pos, score AS p_pii, label, score * 0.5 AS p_ident FROM predicted_span
 QUALIFY row_number() OVER (PARTITION BY doc_id, start_pos, end_pos ORDER BY score DESC NULLS LAST, span_id, label DESC) = 1""",
+    "token_windows": """WITH t AS (SELECT doc_id, len(list_filter(regexp_split_to_array(text, '[ \\t\\n\\r\\f\\x0B\\x1C-\\x1F\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+'), lambda x: x <> ''))::BIGINT AS n FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, (1 + greatest(0, ceil((n - 384) / 288.0)))::BIGINT AS windows, (n + 96 * greatest(0, ceil((n - 384) / 288.0)))::BIGINT AS seen, n AS tokens FROM t WHERE n > 0""",
     "redact_documents": f"WITH RECURSIVE {_REDACT} SELECT doc_id, n_spans::BIGINT AS n_spans, vault_size::BIGINT AS vault_size, redacted FROM red",
     "vault_entries": f"WITH RECURSIVE {_REDACT} SELECT doc_id, ph, surface FROM vault",
     "placeholder_integrity": f"""WITH RECURSIVE {_REDACT}, q AS (SELECT demo_id, any_value(doc_id) AS doc_id, any_value(answer_as_returned) AS a FROM (SELECT DISTINCT demo_id, doc_id, answer_as_returned FROM demo_run) GROUP BY demo_id),

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import calibrate, dedupe, evaluate, fairness, pathredact, redact, risk, spans, stats
+from ..operators import calibrate, dedupe, evaluate, fairness, pathredact, redact, risk, spans, stats, tokens
 from ..operators.detect import baseline_spans, validator_spans
 from ..schema import IDENTIFIER_TYPES
 from ..sources.io import read_table, spread
@@ -223,6 +223,21 @@ def window_dedupe_max_posterior(s, d):
     return spans.best_window(t)
 
 
+@query
+def bio_encoding(s, d):
+    """Tokens at white space labelled against the annotation, counted per label."""
+    docs = _texts(s, d)
+    gold = _docs(s, d).select("doc_id", spans.drop_overlaps("spans").alias("spans"))
+    return tokens.bio_labels(tokens.tokenize(docs), gold).groupBy("label", "label_id").agg(F.count("*").alias("tokens"))
+
+
+@query
+def token_windows(s, d):
+    """Overlapping windows of 384 tokens, 96 shared: per document, windows and tokens seen twice."""
+    w = tokens.windows(tokens.tokenize(_texts(s, d)))
+    return w.groupBy("doc_id").agg((F.max("window") + 1).alias("windows"), F.count("*").alias("seen"), F.countDistinct("token").alias("tokens"))
+
+
 # --- redaction ----------------------------------------------------------------------------------------------------------------------------------------------------------
 
 
@@ -381,6 +396,14 @@ def max_coverage_within_exposure(s, d):
     return stats.max_coverage(_gate(s, d), "risk", "leaked", "doc_id", [0, 1, 5, 20, 10**9])
 
 
+@query
+def arm_reports(s, d):
+    """The report of each statistic."""
+    g = _gate(s, d)
+    parts = [evaluate.arm_report(g, c, "leaked", "doc_id", [0.25, 0.6365], [5, 20]).withColumn("arm", F.lit(c)) for c in _SCORES]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("arm", "measure", "at", F.round("value", 9).alias("value"))
+
+
 _BUDGETS = (0.02, 0.045, 0.06, 0.08, 0.1, 0.12, 0.15, 0.2, 0.3)
 
 
