@@ -72,6 +72,15 @@ def test_p1_hot_tokens_take_the_second_level(spark, monkeypatch):
     assert got == pairs_by_brute_force(texts) and got
 
 
+def test_p1_a_large_group_of_near_copies(spark, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "HOT", 8)
+    rng = random.Random(8)
+    base = words(rng, 90)
+    texts = [edited(rng, base, 0.03) for _ in range(40)] + [words(rng, 90) for _ in range(20)] + [base] * 3
+    got = {(r.doc_id_a, r.doc_id_b) for r in near_duplicates.near_duplicate_pairs(docs(spark, texts)).collect()}
+    assert got == pairs_by_brute_force(texts) and len(got) > 500
+
+
 def test_p1_groups(spark):
     texts = corpus(random.Random(3), 6)
     got = {r.doc_id: r for r in near_duplicates.near_duplicate_groups(docs(spark, texts)).collect()}
