@@ -179,6 +179,13 @@ def test_p3_defects(question, answer, defect):
     assert got == defect
 
 
+def test_p3_pairs_of_both_tables(spark):
+    runs = spark.createDataFrame([(1, "Q1?", "late", "2024-01-02"), (1, "Q1?", "early", "2024-01-01"), (None, "Q?", "x", None), (2, None, None, None)], "demo_id long, question string, answer_as_returned string, generated_at string")
+    tries = spark.createDataFrame([(5, 1, "a", "2024-01-01"), (5, 1, "a", "2024-01-03"), (6, 99, None, None)], "answer_id long, demo_id long, text string, arrived_at string")
+    got = {(r.table_name, r.row_id): (r.question, r.answer) for r in answers.pairs_of(runs, tries).collect()}
+    assert got == {("demo_run", 1): ("Q1?", "early"), ("demo_run", 2): (None, None), ("answer", 5): ("Q1?", "a"), ("answer", 6): (None, None)}
+
+
 def test_p3_tiles():
     assert answers.tiles(list("abcdefgh"), list("xxabcdyyefgh"), 3) == (8, 8) and answers.tiles(list("abc"), list("cab"), 3) == (0, 0)
 
