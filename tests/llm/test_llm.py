@@ -327,6 +327,19 @@ def test_every_query_runs(spark, data, name):
     assert df.count() >= 0 and df.columns
 
 
+@pytest.mark.parametrize("name", sorted(Q.oracle_sql()))
+def test_query_matches_sql(spark, data, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for f in os.listdir(data):
+        con.execute(f"CREATE VIEW {f.split('.')[0]} AS SELECT * FROM '{data}/{f}'")
+    res = con.execute(Q.oracle_sql()[name])
+    names = [d[0] for d in res.description]
+    got = Q.queries()[name](spark, data).select(*names)
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, res.fetchall()))
+
+
 def test_longest_tasks_keep_texts_whole():
     t = "The desk replied. " * 20_000
     assert len(sentences.boundaries(t, "en", LEARNED)) == 20_000

@@ -114,5 +114,33 @@ def queries() -> dict[str, Query]:
     return {k: v for k, v in globals().items() if k.startswith("p") and k[1:2].isdigit()}
 
 
+_BLANK = "[ \\t\\n\\r\\f\\x0B\\x1C-\\x1F\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+".replace("\\\\", "\\")
+#: From a CTE src (doc_id, s) of texts: their distinct shingles g and the number of each, n.
+_SHINGLES = f"""t AS (SELECT *, trim(regexp_replace(lower(s), '{_BLANK}', ' ', 'g'), ' ') AS u FROM src),
+g AS (SELECT DISTINCT doc_id, hash(substring(u, i, 12)) AS h FROM (SELECT doc_id, u, unnest(range(1, length(u) - 10)) AS i FROM t)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id)"""
+_MASKED = """sp AS (SELECT doc_id, s.start_pos AS st, s.end_pos AS en, s.label AS lb, row_number() OVER (PARTITION BY doc_id ORDER BY s.start_pos, s.end_pos, i) AS rn
+  FROM (SELECT doc_id, text, unnest(spans) AS s, generate_subscripts(spans, 1) AS i FROM documents WHERE length(text) >= 200) WHERE s IS NOT NULL AND s.start_pos >= 0 AND s.end_pos > s.start_pos AND s.end_pos <= length(text)),
+kp AS (SELECT doc_id, rn, st, en, lb, en AS last, true AS keep FROM sp WHERE rn = 1
+  UNION ALL SELECT sp.doc_id, sp.rn, sp.st, sp.en, sp.lb, CASE WHEN sp.st >= kp.last THEN sp.en ELSE kp.last END, sp.st >= kp.last FROM kp JOIN sp ON sp.doc_id = kp.doc_id AND sp.rn = kp.rn + 1),
+pc AS (SELECT kp.doc_id, kp.st, kp.en, substring(d.text, coalesce(lag(kp.en) OVER w, 0) + 1, kp.st - coalesce(lag(kp.en) OVER w, 0)) || '[' || coalesce(kp.lb, 'None') || ']' AS piece
+  FROM kp JOIN documents d USING (doc_id) WHERE kp.keep WINDOW w AS (PARTITION BY kp.doc_id ORDER BY kp.st)),
+mt AS (SELECT doc_id, string_agg(piece, '' ORDER BY st) AS head, max(en) AS en FROM pc GROUP BY doc_id),
+src AS (SELECT d.doc_id, lower(trim(d.split, ' ')) AS split, d.source, coalesce(mt.head, '') || substring(d.text, coalesce(mt.en, 0) + 1) AS s FROM documents d LEFT JOIN mt USING (doc_id) WHERE length(d.text) >= 200)"""
+_CROSS = f"""WITH RECURSIVE {_MASKED}, {_SHINGLES},
+tr AS (SELECT g.* FROM g JOIN src USING (doc_id) WHERE split = 'train'), ev AS (SELECT g.* FROM g JOIN src USING (doc_id) WHERE split IN ('dev', 'test')),
+j AS (SELECT tr.doc_id AS a, ev.doc_id AS b, count(*) AS k FROM tr JOIN ev USING (h) GROUP BY ALL),
+pr AS (SELECT a, b FROM j JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE k >= 0.6 * (x.n + y.n - k))"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the queries SQL can express over whole tables; the others are tested by brute force, round trips and held-out accuracy."""
+    return {
+        "p1_found": f"""WITH src AS (SELECT doc_id, text AS s FROM documents WHERE length(text) >= 200), {_SHINGLES}, j AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM g a JOIN g b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY ALL)
+SELECT a AS doc_id_a, b AS doc_id_b FROM j JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE k >= 0.6 * (x.n + y.n - k)""",
+        "p4_found": f"{_CROSS} SELECT least(a, b) AS doc_id_a, greatest(a, b) AS doc_id_b FROM pr",
+        "p4_report": f"""{_CROSS}, hit AS (SELECT b AS doc_id, count(*) AS n FROM pr GROUP BY b)
+SELECT src.split, src.source, count(*) AS documents, count(hit.n) AS overlapping, coalesce(sum(hit.n), 0)::BIGINT AS pairs FROM src LEFT JOIN hit USING (doc_id) WHERE src.split IN ('dev', 'test') GROUP BY ALL""",
+        "p6_found": """SELECT DISTINCT run_id, doc_id FROM (SELECT DISTINCT run_id, first_doc_id, last_doc_id, window_chars FROM deploy_cost WHERE window_chars >= 1) r
+JOIN documents d ON d.doc_id BETWEEN r.first_doc_id AND r.last_doc_id AND length(d.text) > r.window_chars""",
+    }
