@@ -19,11 +19,10 @@ from __future__ import annotations
 import bisect
 import datetime as dt
 import hashlib
-import hmac
 import re
 import unicodedata
 from collections import Counter, defaultdict
-from functools import cache
+from functools import cache, lru_cache
 
 import ahocorasick
 import numpy as np
@@ -32,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import code_points, map_arrow, slices, spread, to_strings
-from .normalize import _compose_pairs, _fold_lookalikes, invisible, tables
+from .normalize import LATIN, _compose_pairs, _fold_lookalikes, _put_rows, _rows_with, _take_rows, invisible, tables
 
 KINDS = ("email", "phone", "identity_number", "street_address", "name")
 #: Bound of the lexicon's fit.
@@ -143,7 +142,11 @@ def folded(col: pa.Array) -> tuple[list[str], list[np.ndarray | None]]:
     keep = np.nonzero(~gone)[0]
     cum = np.concatenate(([0], np.cumsum(~gone)))
     new_off = cum[off]
-    plain = _fold_lookalikes(_plain_table()[codes[keep]], new_off)
+    plain = _plain_table()[codes[keep]]
+    rows = np.nonzero(_rows_with(tables().script[plain] > LATIN, new_off))[0]
+    if len(rows):
+        some, some_off = _take_rows(plain, new_off, rows)
+        plain, _ = _put_rows(plain, new_off, rows, _fold_lookalikes(some, some_off), some_off)
     texts = to_strings(plain, new_off).to_pylist()
     short = np.diff(off) != np.diff(new_off)
     return texts, [np.append(keep[new_off[i] : new_off[i + 1]] - off[i], off[i + 1] - off[i]) if short[i] else None for i in range(len(texts))]
@@ -340,8 +343,18 @@ def find(text: str, automaton: ahocorasick.Automaton) -> list[tuple[int, int, st
     return [x for x in taken if x[2]]
 
 
-def _digest(key: bytes, *parts: object) -> int:
-    return int.from_bytes(hmac.new(key, "|".join(map(str, parts)).encode(), hashlib.blake2b).digest()[:16], "big")
+@cache
+def _mac_key(key: bytes) -> bytes:
+    return hashlib.blake2b(key).digest()
+
+
+def _tag(key: bytes, text: str) -> bytes:
+    """A keyed 128-bit digest."""
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16, key=_mac_key(key)).digest()
+
+
+def _digest(key: bytes, tweak: str, i: int, half: int) -> int:
+    return int.from_bytes(_tag(key, f"{tweak}|{i}|{half}"), "big")
 
 
 def feistel(value: int, size: int, key: bytes, tweak: str, rounds: int = 10) -> int:
@@ -388,11 +401,11 @@ def pseudonym_date(value: dt.date, key: bytes, first: dt.date = dt.date(1900, 1,
     return first + dt.timedelta(days=feistel((value - first).days, (last - first).days + 1, key, "date"))
 
 
+@lru_cache(maxsize=100_000)
 def placeholder(kind: str, surface: str, key: bytes) -> str:
     if kind in ("phone", "identity_number"):
         return f"[{kind.upper()} {pseudonym(surface, key)}]"
-    tag = hmac.new(key, f"{kind}|{' '.join(surface.casefold().split())}".encode(), hashlib.blake2b).hexdigest()[:8]
-    return f"[{kind.upper()} {tag}]"
+    return f"[{kind.upper()} {_tag(key, f'{kind}|' + ' '.join(surface.casefold().split())).hex()[:8]}]"
 
 
 def detect(df: DataFrame, names: tuple[set[str], set[str]] | None = None, key: str = "change-me") -> DataFrame:
