@@ -94,6 +94,29 @@ def test_validators(spark):
     }
 
 
+def test_validated_queries_against_a_loop(spark, tmp_path):
+    import re
+
+    from veilspark.plans import queries as Q
+
+    texts = [
+        "josé@hestermarkå.example, a@b.example; 01.99.00.56 and 10.0.0.1, not 1.2.3.456 or 300.1.1.1", "card 4111 1111 1111 1111 or 4111-1111-1111-1112", "run 41111111111111110000000, id 4111111111111111-7",
+        "12345678901234567890 4111111111111111", "4111 1111 1111 1111 4111 1111 1111 1111", None, "nothing here",
+    ]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+
+    def luhn(s):
+        d = [int(c) for c in s if c.isdigit()][::-1]
+        return 13 <= len(d) <= 19 and sum(x if i % 2 == 0 else x * 2 // 10 + x * 2 % 10 for i, x in enumerate(d)) % 10 == 0
+
+    for name, label, keep in (("validated_email", "email", None), ("validated_ipv4", "ipv4", None), ("validated_card_luhn", "credit_card_number", luhn)):
+        pattern = re.compile(X.PATTERNS[label].removeprefix("(?U)"))
+        want = {i: [m.group() for m in pattern.finditer(t or "") if keep is None or keep(m.group())] for i, t in enumerate(texts)}
+        got = {r.doc_id: (r.n, r.surfaces) for r in Q.queries()[name](spark, str(tmp_path)).collect()}
+        assert got == {i: (len(w), "|".join(w)) for i, w in want.items() if w}
+    assert want[1] == ["4111 1111 1111 1111"] and not want[2]
+
+
 def test_luhn_length_bound(spark):
     got = spark.createDataFrame([("0",), ("4111111111111111",), ("4111111111111112",)], "s string").select(X.luhn_ok("s")).collect()
     assert [r[0] for r in got] == [False, True, False]

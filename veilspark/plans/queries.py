@@ -120,6 +120,24 @@ def detect_card_luhn(s, d):
     return _hits(s, d, r"[0-9](?:[ -]?[0-9]){12,18}", X.luhn_ok)
 
 
+@query
+def validated_email(s, d):
+    """E-mail addresses by the validator's own pattern, letters outside ASCII included. No SQL: DuckDB has neither lookarounds nor a Unicode \\w; detect_email is the reduced form SQL can compare."""
+    return _hits(s, d, X.PATTERNS["email"])
+
+
+@query
+def validated_ipv4(s, d):
+    """Network addresses by the validator's own pattern, bordered and with leading zeros; see validated_email."""
+    return _hits(s, d, X.PATTERNS["ipv4"])
+
+
+@query
+def validated_card_luhn(s, d):
+    """Card numbers by the validator's own pattern and the Luhn sum, none out of longer runs of digits; see validated_email."""
+    return _hits(s, d, X.PATTERNS["credit_card_number"], X.luhn_ok)
+
+
 @query
 def detect_iban_mod97(s, d):
     return _hits(s, d, r"[A-Z]{2}[0-9]{2}[ ]?(?:[A-Z0-9]{4}[ ]?){2,7}[A-Z0-9]{1,4}", X.iban_ok)
