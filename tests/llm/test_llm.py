@@ -186,6 +186,20 @@ def test_p3_pairs_of_both_tables(spark):
     assert got == {("demo_run", 1): ("Q1?", "early"), ("demo_run", 2): (None, None), ("answer", 5): ("Q1?", "a"), ("answer", 6): (None, None)}
 
 
+def _answers(spark, answers_, more=None):
+    """Defects of answers by row; more: answers beside them."""
+    df = spark.createDataFrame([(i, None, a) for i, a in enumerate(answers_)], "row_id long, question string, answer string")
+    found = answers.find_defects(df if more is None else df.unionByName(more), np.zeros((language.SLOTS, len(language.CODES)), np.float32))
+    return {r.row_id: r.defect for r in found.where(f"row_id < {len(answers_)}").collect()}
+
+
+def test_p3_broken_item_among_many_items(spark):
+    # over 500,000 different items, each met once
+    more = spark.range(1000, 6000).selectExpr("id as row_id", "cast(null as string) as question", "array_join(transform(sequence(1, 101), k -> concat('- free text ', id, ' of ', k)), '\n') as answer")
+    got = _answers(spark, ["Open:\n- the annual statement"] * 9 + ["Open:\n- the annual state", "Open:\n- a free text"], more)
+    assert got == {i: "truncated" if i == 9 else None for i in range(11)}
+
+
 def test_p3_tiles():
     assert answers.tiles(list("abcdefgh"), list("xxabcdyyefgh"), 3) == (8, 8) and answers.tiles(list("abc"), list("cab"), 3) == (0, 0)
 

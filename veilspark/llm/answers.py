@@ -20,7 +20,7 @@ import unicodedata
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_arrow, spread
@@ -200,37 +200,39 @@ def items(answer: str | None) -> list[str]:
 
 def is_truncated(answer: str, common: dict[str, int], broken: set[str]) -> bool:
     """common: list items of all answers with their counts; broken: items that are mere beginnings of common ones."""
+    otherwise, key = truncation(answer)
+    return otherwise if key is None or key not in broken and key not in common else key in broken
+
+
+def truncation(answer: str) -> tuple[bool, str | None]:
+    """(whether it is truncated, None); or, if the items of all answers decide, (whether it is truncated if none is its last item, that item)."""
     t = _TAIL.sub("", answer).rstrip()
     t = "".join(c for c in t if unicodedata.category(c) != "Cf").rstrip()
     t = re.sub(r"(?:\s*\n\s*[-–—*_=~#•.]+)+$", "", t).rstrip() if not re.search(r"\n\s*(?:[-*•]|\d+\.)\s+\S[^\n]*\n\s*[-*•.]$", t) else t
     while t and (unicodedata.category(t[-1]) in ("So", "Sk") or t[-1] in "️‍"):
         t = t[:-1].rstrip()
     if not t:
-        return False
+        return False, None
     stack = still_open(t)
     if stack:
-        return True
+        return True, None
     lines = [x for x in t.split("\n") if x.strip() and x.strip() != "```"]
     if not lines:
-        return False
+        return False, None
     last = lines[-1].rstrip()
     if _ITEM.match(last):
         key = _item_key(last)
         if _END.search(key):
-            return _open_end(key)
-        if key in broken:
-            return True
-        if key in common:
-            return False
+            return _open_end(key), None
         # an item nobody else has: complete if the others don't end in marks and it doesn't break off in a word
         others = [x for x in lines[:-1] if _ITEM.match(x)]
-        return any(_END.search(x.rstrip()) for x in others) and len(others) > 0
+        return any(_END.search(x.rstrip()) for x in others), key
     if re.match(r"^\s*(?:[-*•‣▪–]|\(?\d{1,3}[.)])$", last):
-        return True
+        return True, None
     core = last.rstrip(")]}\"'”“»’」』›*_` ")
     if _END.search(core):
-        return _open_end(core)
-    return True
+        return _open_end(core), None
+    return True, None
 
 
 def _open_end(core: str) -> bool:
@@ -251,41 +253,38 @@ def count_items(pairs: DataFrame) -> DataFrame:
     return map_arrow(pairs.select("answer").where("answer is not null"), fn, "item string").groupBy("item").agg(F.count("*").alias("n"))
 
 
-def learn_items(pairs: DataFrame, most: int = 500_000) -> tuple[dict[str, int], set[str]]:
-    """(common items with counts, broken ones). The vocabulary of list items is bounded by `most`; a larger one keeps to items met at least twice."""
-    counts = count_items(pairs)
-    if counts.limit(most + 1).count() > most:
-        counts = counts.where("n > 1")
-    got = {r.item: r.n for r in counts.limit(most).collect()}
-    order = sorted(got)
-    broken = set()
-    for i, item in enumerate(order):
-        longer = 0
-        for other in order[i + 1 : i + 60]:
-            if not other.startswith(item):
-                break
-            longer = max(longer, got[other])
-        if longer > 2 and longer > 4 * got[item]:
-            broken.add(item)
-    return got, broken
+def _marks(text: Column) -> tuple[Column, Column]:
+    """Two digests of 64 bits, which stand for text in joins."""
+    return F.xxhash64(text), F.xxhash64(F.lit(1), text)
+
+
+def item_states(pairs: DataFrame) -> DataFrame:
+    """(h1, h2, broken): a row for each list item of all answers, by its digests. broken: a mere beginning of one that is met more than twice, and more than four times as often.
+
+    Each item met at least five times gives its beginnings their counts, so nothing is sorted, collected or left out; no rarer one can be four times as common as another."""
+    row = lambda s, own, longer: F.struct(_marks(s)[0].alias("h1"), _marks(s)[1].alias("h2"), own.cast("long").alias("own"), longer.cast("long").alias("longer"))
+    begins = F.transform(F.sequence(F.lit(0), F.length("item") - 1), lambda k: row(F.substring(F.col("item"), F.lit(1), k), F.lit(None), F.col("n")))
+    rows = F.concat(F.array(row(F.col("item"), F.col("n"), F.lit(None))), F.when((F.col("n") > 4) & (F.length("item") > 0), begins).otherwise(F.array()))
+    found = count_items(pairs).select(F.explode(rows).alias("r")).select("r.*").groupBy("h1", "h2").agg(F.max("own").alias("own"), F.max("longer").alias("longer"))
+    return found.where("own is not null").select("h1", "h2", F.expr("coalesce(longer > 2 and longer > 4 * own, false)").alias("broken"))
 
 
 def _plain(text: str) -> str:
     return _usable(_PLACEHOLDER.sub(" ", text))
 
 
-def find_defects(pairs: DataFrame, weights: np.ndarray, learned: tuple[dict[str, int], set[str]] | None = None) -> DataFrame:
+def find_defects(pairs: DataFrame, weights: np.ndarray) -> DataFrame:
     """pairs: row_id, question, answer. (row_id, defect): one row for each pair, defect null where there is none."""
-    common, broken = learn_items(pairs) if learned is None else learned
-    shared = pairs.sparkSession.sparkContext.broadcast((weights, common, broken))
+    shared = pairs.sparkSession.sparkContext.broadcast(weights)
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
-        w, known, bad = shared.value
+        w = shared.value
         questions, answers = batch.column(1).to_pylist(), batch.column(2).to_pylist()
         qs, nq = scores([_plain(q or "") for q in questions], w)
         as_, na = scores([_plain(_TAIL.sub("", a or "")) for a in answers], w)
-        out = []
+        out, last = [], []
         for k, (q, a) in enumerate(zip(questions, answers)):
+            item = None
             if is_empty(a):
                 out.append("empty")
             elif is_copy(q, a):
@@ -294,13 +293,18 @@ def find_defects(pairs: DataFrame, weights: np.ndarray, learned: tuple[dict[str,
                 out.append("refusal")
             elif q and _other_language(qs[k], as_[k], int(nq[k]), int(na[k])):
                 out.append("wrong_language")
-            elif is_truncated(a, known, bad):
-                out.append("truncated")
             else:
-                out.append(None)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["row_id", "defect"])
-
-    return map_arrow(spread(pairs.select("row_id", "question", "answer")), fn, "row_id long, defect string")
+                truncated, item = truncation(a)
+                out.append("truncated" if truncated else None)
+            last.append(item)
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string()), pa.array(last, pa.string())], ["row_id", "defect", "item"])
+
+    looked = map_arrow(spread(pairs.select("row_id", "question", "answer")), fn, "row_id long, defect string, item string")
+    h1, h2 = _marks(F.col("item"))
+    # rows without an item meet none (h2 is null) and are spread by their id
+    looked = looked.withColumn("h1", F.when(F.col("item").isNull(), F.xxhash64("row_id")).otherwise(h1)).withColumn("h2", F.when(F.col("item").isNotNull(), h2))
+    joined = looked.drop("item").join(item_states(pairs), ["h1", "h2"], "left")
+    return joined.select("row_id", F.when(F.col("broken").isNull(), F.col("defect")).when(F.col("broken"), "truncated").alias("defect"))
 
 
 def _other_language(q: np.ndarray, a: np.ndarray, nq: int, na: int) -> bool:
