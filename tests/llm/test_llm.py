@@ -200,6 +200,12 @@ def test_p3_broken_item_among_many_items(spark):
     assert got == {i: "truncated" if i == 9 else None for i in range(11)}
 
 
+def test_p3_broken_item_before_many_of_the_same_beginning(spark):
+    rare = [f"Points :\n- le directeur note que {i}" for i in range(100)]
+    got = _answers(spark, [*rare, *["Points :\n- le découvert autorisé"] * 9, "Points :\n- le d"])
+    assert [i for i, d in got.items() if d] == [109] and got[109] == "truncated"
+
+
 def test_p3_tiles():
     assert answers.tiles(list("abcdefgh"), list("xxabcdyyefgh"), 3) == (8, 8) and answers.tiles(list("abc"), list("cab"), 3) == (0, 0)
 
