@@ -223,6 +223,15 @@ def test_p5_items(spark):
     assert not g and not f
 
 
+def test_p5_names_of_all_documents(spark, monkeypatch):
+    monkeypatch.setattr(personal, "FIT_DOCS", 10, raising=False)
+    texts = [f"{'Ivy Quillane' if i % 13 == 0 else 'No one'} called; 王{'小明芳'[i % 3]} and {'李张'[i % 2]}{'小明芳'[i % 3]} too." for i in range(40)]
+    ann = [[(0, 12, "name"), (21, 23, "name"), (28, 30, "name")] if i % 13 == 0 else [(15, 17, "name"), (22, 24, "name")] for i in range(40)]
+    df = spark.createDataFrame([(i, t, a) for i, (t, a) in enumerate(zip(texts, ann))], "doc_id long, text string, spans array<struct<start_pos int, end_pos int, label string>>")
+    g, f = personal.fit_names(df)
+    assert "Ivy" in g and "Quillane" in f and {"王", "李", "张"} <= f and {"小", "明", "芳"} <= g
+
+
 def test_p5_pseudonyms_are_a_permutation_within_the_format():
     import datetime as dt
 

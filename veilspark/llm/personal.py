@@ -4,8 +4,8 @@ Detection runs on a folded copy of the text with a position for each of its code
 put in their plain form, so disguised items are met at their place in the text as stored.
 
 * email, phone, identity_number, street_address: grammars over formats and, where a bare number would be ambiguous, the words that introduce it;
-* name: a lexicon of given and family names, fitted on the gold annotation of at most FIT_DOCS documents (chosen by a hash of their id) and
-  looked up by one Aho-Corasick pass; neighbouring hits and initials are assembled into full names, in either order. Everything else reads all rows.
+* name: a lexicon of given and family names, fitted on the gold annotation of all documents and looked up by one Aho-Corasick pass; neighbouring hits and initials are assembled
+  into full names, in either order.
 
 Replacement: numbers keep their format; their digits and letters are permuted by a keyed Feistel network over the whole value, so equal values get equal pseudonyms in all documents and
 different values different ones. Dates are permuted within the calendar the same way. Names, addresses and e-mail addresses become a typed placeholder with a keyed tag, alike for
@@ -21,7 +21,7 @@ import datetime as dt
 import hashlib
 import re
 import unicodedata
-from collections import Counter, defaultdict
+from collections import Counter
 from functools import cache, lru_cache
 
 import ahocorasick
@@ -30,12 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import code_points, map_arrow, slices, spread, to_strings
+from .common import code_points, cut, map_arrow, slices, spread, to_strings
 from .normalize import LATIN, _compose_pairs, _fold_lookalikes, _put_rows, _rows_with, _take_rows, invisible, tables
 
 KINDS = ("email", "phone", "identity_number", "street_address", "name")
-#: Bound of the lexicon's fit.
-FIT_DOCS = 20_000
+#: Sightings of a name in the annotation that the lexicon asks for.
 LEAST_SEEN = 3
 
 _S = r"[ \t]"
@@ -152,72 +151,105 @@ def folded(col: pa.Array) -> tuple[list[str], list[np.ndarray | None]]:
     return texts, [np.append(keep[new_off[i] : new_off[i + 1]] - off[i], off[i + 1] - off[i]) if short[i] else None for i in range(len(texts))]
 
 
-def fit_names(df: DataFrame) -> tuple[set[str], set[str]]:
-    """(given names, family names) from a bounded sample of the gold annotation. A surface counts if it is annotated as a name most of the times it is annotated at all."""
-    labelled = df.where("text is not null and size(spans) > 0")
-    every = max(1, labelled.count() // FIT_DOCS)
+def _name_parts(surface: str, label: str) -> list[tuple[str, str]]:
+    """(kind, part) of an annotated surface: given and family names, unspaced full names (cjk), and what is annotated otherwise (other)."""
+    s = unicodedata.normalize("NFKC", " ".join(surface.split()))
+    if label == "other":
+        return [("other", s)]
+    if label == "last_name":
+        return [("family", s)]
+    if label == "first_name":
+        return [] if " " in s else [("given", s)]
+    if any(c.isdigit() or c in "@<>|;/" for c in s):
+        return []
+    if _CJK.match(s):
+        return [("cjk", s)]
+    if m := re.fullmatch(r"([^,]+), (\S+)", s):
+        return [("family", m[1]), ("given", m[2])]
+    if m := re.fullmatch(r"[^\W\d_]\. (.+)", s):
+        return [("family", m[1])]
+    if " " in s:
+        x, y = s.split(" ", 1)
+        return [("given", x), ("family", y)]
+    return []
+
+
+def count_names(df: DataFrame) -> DataFrame:
+    """(part, given, family, cjk, other): how often each part is annotated, over all documents; parts that can be no name for want of sightings left out."""
     label = F.col("s.label")
     counts = (
-        labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)
-        .select("text", F.explode("spans").alias("s"))
+        df.where("text is not null and size(spans) > 0").select("text", F.explode("spans").alias("s"))
         .where(label.isNotNull() & F.expr("s.start_pos >= 0 and s.end_pos > s.start_pos and s.end_pos - s.start_pos <= 40 and s.end_pos <= length(text)"))
         .select(F.expr("substring(text, s.start_pos + 1, s.end_pos - s.start_pos)").alias("surface"), F.when(label.isin("name", "first_name", "last_name"), label).otherwise("other").alias("label"))
         .groupBy("surface", "label").agg(F.count("*").alias("n"))
         .where("label <> 'other' or n > 1")
-        .collect()
     )
-    names, other = defaultdict(Counter), Counter()
-    for r in counts:
-        s = unicodedata.normalize("NFKC", " ".join(r.surface.split()))
-        if r.label == "other":
-            other[s] += r.n
-        else:
-            names[r.label][s] += r.n
-    given, family, cjk = Counter(), Counter(), Counter()
-    for s, n in names["name"].items():
-        if any(c.isdigit() or c in "@<>|;/" for c in s):
-            continue
-        if _CJK.match(s):
-            cjk[s] += n
-        elif m := re.fullmatch(r"([^,]+), (\S+)", s):
-            family[m[1]] += n
-            given[m[2]] += n
-        elif m := re.fullmatch(r"[^\W\d_]\. (.+)", s):
-            family[m[1]] += n
-        elif " " in s:
-            a, b = s.split(" ", 1)
-            given[a] += n
-            family[b] += n
-    for s, n in names["first_name"].items():
-        if " " not in s:
-            given[s] += n
-    for s, n in names["last_name"].items():
-        family[s] += n
+
+    def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
+        surfaces, labels, ns = (c.to_pylist() for c in batch.columns)
+        rows = [(kind, part, n) for s, x, n in zip(surfaces, labels, ns) for kind, part in _name_parts(s, x)]
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64()))], ["kind", "part", "n"])
+
+    of = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("n"))), F.lit(0)).alias(kind)
+    parts = map_arrow(counts, fn, "kind string, part string, n long").groupBy("part").agg(*map(of, ("given", "family", "cjk", "other")))
+    return parts.where(f"given >= {LEAST_SEEN} or family >= {LEAST_SEEN} or cjk > 1")
+
+
+def unspaced_cuts(full: DataFrame) -> DataFrame:
+    """part -> (head, tail) of unspaced full names: the cut both of whose sides are met with several others, the best if there are more."""
+    cuts = full.where("length(part) > 1").select("part", F.explode(F.expr("sequence(1, length(part) - 1)")).alias("k")).select("part", "k", F.expr("substring(part, 1, k)").alias("head"), F.expr("substring(part, k + 1)").alias("tail"))
+    met = cuts.where("length(part) <= 6")
+    heads, tails = met.groupBy("head").agg(F.count("*").alias("n")).where("n > 2"), met.groupBy("tail").agg(F.count("*").alias("m")).where("m > 2")
+    both = cuts.join(heads, "head").join(tails, "tail")
+    return both.groupBy("part").agg(F.max(F.struct(F.expr("n * m").alias("x"), F.expr("-k").alias("k"), "head", "tail")).alias("b")).select("b.head", "b.tail").distinct()
+
+
+def count_met(df: DataFrame, words: set[str]) -> dict[str, int]:
+    """How often each of words stands by itself in the texts of all documents."""
+    shared = df.sparkSession.sparkContext.broadcast(sorted(words))
+    built: dict[str, ahocorasick.Automaton] = {}
+
+    def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
+        if "a" not in built:
+            built["a"] = ahocorasick.Automaton()
+            for w in shared.value:
+                built["a"].add_word(w, w)
+            built["a"].make_automaton()
+        n: Counter = Counter()
+        for t in batch.column(0):
+            t = t.as_py()
+            n.update(w for last, w in built["a"].iter(t) if _sides_free(t, last + 1 - len(w), last + 1))
+        return pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["word", "n"])
+
+    if not words:
+        return {}
+    return {r.word: r.n for r in map_arrow(spread(df.select("text").where("text is not null")), fn, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}
+
+
+def fit_names(df: DataFrame) -> tuple[set[str], set[str]]:
+    """(given names, family names) from the gold annotation of all documents. A surface counts if it is annotated as a name most of the times it is annotated at all, and most of the times
+    it is met: else the more documents, the more words annotated by mistake would reach LEAST_SEEN."""
+    counted = cut(count_names(df))
+    given, family, other = Counter(), Counter(), Counter()
+    for r in counted.where(f"given >= {LEAST_SEEN} or family >= {LEAST_SEEN}").collect():
+        given[r.part], family[r.part], other[r.part] = r.given, r.family, r.other
 
     def good(c: Counter, words: int) -> set[str]:
         cut_off = {t for s, n in c.items() if n >= 20 for t in (s[:-1], s[1:], s[:-2], s[2:]) if 5 * c[t] < n}
         return {s for s, n in c.items() if s not in cut_off and n >= LEAST_SEEN and n > 2 * other[s] and len(s) > 1 and len(s.split()) <= words and all(_NAME_OK.fullmatch(w) for w in s.split())}
 
     g, f = good(given, 1), good(family, 3)
+    met = count_met(df, {s for s in g | f if not _CJK.match(s)})
+    g, f = ({s for s in x if 2 * (given[s] + family[s]) > met.get(s, 0)} for x in (g, f))
     # a name that is met in both places goes where it is met more; a family name with a given name in front isn't one
     both = g & f
     g -= {s for s in both if family[s] > given[s]}
     f -= {s for s in both if family[s] <= given[s]}
     f = {s for s in f if not (" " in s and s.split(" ", 1)[0] in g)}
     f = {s for s in f if not (" " in s and s.split(" ", 1)[0] in f)} | {s for s in f if " " in s and family[s] >= 10 and family[s] * 3 >= family[s.split(" ", 1)[0]]}
-    # unspaced names: a cut both of whose sides are met with several others
-    heads, tails = defaultdict(set), defaultdict(set)
-    for s, n in cjk.items():
-        if n >= 2 and 2 <= len(s) <= 6:
-            for k in range(1, len(s)):
-                heads[s[:k]].add(s[k:])
-                tails[s[k:]].add(s[:k])
-    for s, n in cjk.items():
-        cuts = [k for k in range(1, len(s)) if len(heads[s[:k]]) > 2 and len(tails[s[k:]]) > 2]
-        if n >= 2 and cuts:
-            k = max(cuts, key=lambda k: len(heads[s[:k]]) * len(tails[s[k:]]))
-            f.add(s[:k])
-            g.add(s[k:])
+    for r in unspaced_cuts(counted.where("cjk > 1").select("part")).collect():
+        f.add(r.head)
+        g.add(r.tail)
     return g, f
 
 
