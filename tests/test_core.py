@@ -298,6 +298,22 @@ def test_paths(spark):
     assert pathredact.leaking_paths(df, "t").count() == 1 and pathredact.leaking_paths(spark.createDataFrame([(r,)], "t string"), "t").count() == 0
 
 
+def test_paths_of_stored_texts(spark, tmp_path):
+    from hashlib import sha256
+
+    from veilspark.plans import queries as Q
+
+    df = spark.createDataFrame([(1, "open /home/me/a.txt, 3/4 and /srv/desk/x.csv", "de sk"), (2, None, "desk"), (3, "", None)], "doc_id long, text string, source string")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    token = lambda parent: f"<path:{sha256(parent.encode()).hexdigest()[:6]}>"
+    got = {r.doc_id: r.once for r in Q.queries()["path_redaction_texts"](spark, str(tmp_path)).collect()}
+    assert got == {
+        1: f"open {token('/home/me')}/a.txt, 3/4 and <srv>/desk/x.csv\nsee <srv>/de_sk/in/doc.txt, {token('/data/de_sk')}/doc.txt and /usr/bin/env.",
+        3: f"\nsee <srv>/none/in/doc.txt, {token('/data/none')}/doc.txt and /usr/bin/env.",
+    }
+    assert {tuple(r) for r in Q.queries()["path_leaks"](spark, str(tmp_path)).collect()} == {("stored", 2)}
+
+
 def test_sources_and_guarded_sink(spark, tmp_path):
     (tmp_path / "c").mkdir()
     (tmp_path / "c/a.jsonl").write_text('{"text": "hé", "spans": [{"start_pos": 0, "end_pos": 2, "label": "name"}]}\n')

@@ -568,6 +568,30 @@ def path_redaction(s, d):
     return r.select("doc_id", "once", (pathredact.redact_paths("once") == F.col("once")).alias("stable"))
 
 
+#: Fixed value: a folder known by name, for the queries over stored texts.
+_KNOWN = {"/srv/": "<srv>/"}
+
+
+def _with_path(s: SparkSession, d: str) -> DataFrame:
+    """doc_id, t: the stored texts, each with a sentence behind it that names a path, as paths are rare in them."""
+    source = F.regexp_replace(F.coalesce("source", F.lit("none")), r"[^A-Za-z0-9_.-]", "_")
+    return _texts(s, d, "source").select("doc_id", F.concat("text", F.lit("\nsee /srv/"), source, F.lit("/in/doc.txt, /data/"), source, F.lit("/doc.txt and /usr/bin/env.")).alias("t"))
+
+
+@query
+def path_redaction_texts(s, d):
+    """Stored texts with their absolute paths replaced, a known prefix by its name; no SQL, path_redaction is the form SQL can compare."""
+    return _with_path(s, d).select("doc_id", pathredact.redact_paths("t", _KNOWN).alias("once"))
+
+
+@query
+def path_leaks(s, d):
+    """Texts in which the leak finder still meets a path, by stage: as stored, and redacted (no row if there is none)."""
+    stages = F.array(F.struct(F.lit("stored").alias("stage"), F.col("t")), F.struct(F.lit("redacted").alias("stage"), pathredact.redact_paths("t", _KNOWN).alias("t")))
+    x = _with_path(s, d).select(F.explode(stages).alias("x")).select("x.*")
+    return pathredact.leaking_paths(x, "t", _KNOWN).groupBy("stage").agg(F.count("*").alias("leaking"))
+
+
 @query
 def decisions_per_day(s, d):
     """Decisions per day of arrival and route: the streaming aggregation, in batch."""
