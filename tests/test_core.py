@@ -314,6 +314,14 @@ def test_paths_of_stored_texts(spark, tmp_path):
     assert {tuple(r) for r in Q.queries()["path_leaks"](spark, str(tmp_path)).collect()} == {("stored", 2)}
 
 
+def test_surveyed_head_and_tail(spark, tmp_path):
+    from veilspark.plans import queries as Q
+
+    spark.range(4500).selectExpr("id as doc_id", "if(id % 2 = 0, 'train', 'test') as split", "'a' as source", "'b' as doc_type").write.parquet(str(tmp_path / "documents.parquet"))
+    tail, head = ([r.doc_id for r in Q.queries()[n](spark, str(tmp_path)).collect()] for n in ("tail_split_dev_2000", "head_slice_800"))
+    assert sorted(tail) == list(range(500, 4500, 2)) and sorted(head) == list(range(800))
+
+
 def test_sources_and_guarded_sink(spark, tmp_path):
     (tmp_path / "c").mkdir()
     (tmp_path / "c/a.jsonl").write_text('{"text": "hé", "spans": [{"start_pos": 0, "end_pos": 2, "label": "name"}]}\n')

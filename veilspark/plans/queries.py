@@ -96,6 +96,18 @@ def head_slice(s, d):
     return _docs(s, d).select("doc_id", "doc_type").orderBy("doc_id").limit(80)
 
 
+@query
+def tail_split_dev_2000(s, d):
+    """The surveyed tail: the last 2,000 training documents by id. No SQL; tail_split_dev is the short form of it."""
+    return _docs(s, d).where("split = 'train'").select("doc_id", "source").orderBy(F.desc("doc_id")).limit(2000)
+
+
+@query
+def head_slice_800(s, d):
+    """The surveyed head: the first 800 documents by id; see tail_split_dev_2000."""
+    return _docs(s, d).select("doc_id", "doc_type").orderBy("doc_id").limit(800)
+
+
 # --- detection ----------------------------------------------------------------------------------------------------------------------------------------------------------
 
 
