@@ -8,7 +8,8 @@ put in their plain form, so disguised items are met at their place in the text a
   into full names, in either order.
 
 Replacement: numbers keep their format; their digits and letters are permuted by a keyed Feistel network over the whole value, so equal values get equal pseudonyms in all documents and
-different values different ones. Dates are permuted within the calendar the same way. Names, addresses and e-mail addresses become a typed placeholder with a keyed tag, alike for
+different values different ones. Dates in texts are left as they stand (pseudonym_date permutes
+a single one within the calendar), and numbers are permuted without regard to check digits. Names, addresses and e-mail addresses become a typed placeholder with a keyed tag, alike for
 equal values.
 
 Null and empty texts have no items and stay as they are. Where items overlap, those with a word or format of their own win over bare numbers and names, then the earlier, then the longer. A row given twice yields its items twice.
