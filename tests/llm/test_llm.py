@@ -179,6 +179,11 @@ def test_p3_defects(question, answer, defect):
     assert got == defect
 
 
+def test_p3_refusal_of_any_length():
+    t = "I can't help with that request." + " Please contact the branch on the market square, or write to the desk that keeps your account." * 6
+    assert len(t) > 400 and answers.is_refusal(t) and not answers.is_refusal(t + " The loan was paid back in full on Monday.")
+
+
 def test_p3_pairs_of_both_tables(spark):
     runs = spark.createDataFrame([(1, "Q1?", "late", "2024-01-02"), (1, "Q1?", "early", "2024-01-01"), (None, "Q?", "x", None), (2, None, None, None)], "demo_id long, question string, answer_as_returned string, generated_at string")
     tries = spark.createDataFrame([(5, 1, "a", "2024-01-01"), (5, 1, "a", "2024-01-03"), (6, 99, None, None)], "answer_id long, demo_id long, text string, arrived_at string")

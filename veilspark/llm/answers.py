@@ -173,13 +173,19 @@ def is_copy(question: str | None, answer: str) -> bool:
 
 def is_refusal(answer: str) -> bool:
     t = _TAIL.sub("", answer).strip()
-    if len(t) > 400 or not (m := _REFUSAL.search(t)):
+    parts, rest = [], 0
+    for s in re.split(r"(?<=[.!?。！？।؟])\s*", t):
+        if any(c.isalnum() for c in s):
+            parts.append(s)
+            if not COURTESY.search(s) and not _REFUSAL.search(s):
+                rest += sum(map(str.isalnum, s))
+                if rest > 15:
+                    return False
+    if not _REFUSAL.search(t):
         return False
-    parts = [s for s in re.split(r"(?<=[.!?。！？।؟])\s*", t) if any(c.isalnum() for c in s)]
-    rest = sum(sum(map(str.isalnum, s)) for s in parts if not _REFUSAL.search(s) and not COURTESY.search(s))
     own = next((s for s in parts if _REFUSAL.search(s)), t)
     cjk = bool(re.search(r"[぀-ヿ㐀-鿿]", own))
-    return rest <= 15 and len(own) <= (60 if cjk else 200)
+    return len(own) <= (60 if cjk else 200)
 
 
 def last_item(answer: str) -> str | None:
