@@ -81,6 +81,39 @@ def test_p1_a_large_group_of_near_copies(spark, monkeypatch):
     assert got == pairs_by_brute_force(texts) and len(got) > 500
 
 
+def test_p1_exact_scheme_loses_nothing(spark, monkeypatch):
+    # short lines in another order: hardly a shingle of 32 is shared, three of five of those of 12 are
+    monkeypatch.setattr(near_duplicates, "HOT", 4)
+    rng = random.Random(9)
+    texts = []
+    for _ in range(12):
+        lines = [words(rng, 9)[:47].strip() for _ in range(8)]
+        texts += ["\n".join(lines), "\n".join(rng.sample(lines, 8)), "\n".join(rng.sample(lines, 7))]
+    texts += corpus(rng, 4)
+    got = {(r.doc_id_a, r.doc_id_b) for r in near_duplicates.near_duplicate_pairs(docs(spark, texts), scheme=near_duplicates.exact(0.6)).collect()}
+    assert got == pairs_by_brute_force(texts) and len(got) > 30
+
+
+@pytest.mark.parametrize("hot", [2, 16, 1000])
+def test_p1_levels_meet_each_other(spark, monkeypatch, hot):
+    # sets drawn from few tokens: every level is taken by some document, and pairs between levels must be met
+    monkeypatch.setattr(near_duplicates, "HOT", hot)
+    rng = random.Random(hot)
+    rows = []
+    for i in range(150):
+        common = rng.sample(range(40), rng.randint(0, 12))
+        own = rng.sample(range(40, 4000 if i % 3 else 70), rng.randint(4, 14))
+        rows.append((i, [2 * t for t in {*common, *own}]))
+    reps = spark.createDataFrame([(i, len(t), 0, 0, 0, sorted(t)) for i, t in rows], "doc_id long, n12 int, s1 long, s2 long, s3 long, tokens array<long>")
+    scheme = near_duplicates.Scheme(((12, 0, 1 << 40),), None, 0.3, False)
+    got = {(r.a, r.b) for r in near_duplicates._candidates(reps, 0.0, scheme).collect()}
+    need = {i: max(1, -(-3 * len(t) // 10)) for i, t in rows}
+    want = {(i, j) for (i, x), (j, y) in itertools.combinations(rows, 2) if len(set(x) & set(y)) >= max(need[i], need[j])}
+    assert want <= got and want
+    levels = {r.level for r in near_duplicates._leveled(reps, scheme).select("level").distinct().collect()}
+    assert levels >= {2: {1, 2}, 16: {1, 3}, 1000: {1}}[hot]
+
+
 def test_p1_groups(spark):
     texts = corpus(random.Random(3), 6)
     got = {r.doc_id: r for r in near_duplicates.near_duplicate_groups(docs(spark, texts)).collect()}
