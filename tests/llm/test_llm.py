@@ -332,6 +332,23 @@ def test_p8_round_trip_and_library(spark):
     assert all(back[i] == (x or "") for i, x in enumerate(texts))
 
 
+def test_p8_table_decides_alone(monkeypatch):
+    if not os.path.exists(f"{tokenize.TOKENIZER_DIR}/byte_bpe_50k.json"):
+        pytest.skip("no vocabularies")
+    a = tokenize.automaton("byte_bpe_50k")
+    rng = random.Random(10)
+    pieces = [bytes(rng.choice(b"aeinorst th,.0123\xc3\xa9") for _ in range(rng.randint(1, 40))) for _ in range(400)] + [b" the", b"aaaa" * 50]
+    want = [a.walk(p) for p in pieces]
+    assert all(b"".join(a.bytes_of[t] for t in w) == p for p, w in zip(pieces, want))
+    # what has been read once is read again by the table only, in a single pass
+    monkeypatch.setattr(a, "step", None)
+    assert [a.walk(p) for p in pieces] == want and a.walk(b" the") == a.walk(b" the")
+    monkeypatch.undo()
+    # starting the table anew changes no result
+    monkeypatch.setattr(tokenize, "KEPT_STATES", 50)
+    assert [a.walk(p) for p in pieces] == want and len(a.begun) < 5000
+
+
 def test_p9_packing(spark):
     texts = ["word " * n for n in (0, 1, 5, 40, 60, 99, 300, 7, 7, 7)] + [None]
     plan = spark.createDataFrame([(1, "byte_bpe_50k", 64), (2, "byte_bpe_multi_50k", 128), (3, None, 64), (4, "byte_bpe_50k", 0)], "plan_id int, tokenizer string, capacity_tokens int")

@@ -2,13 +2,16 @@
 
 Compilation. The automaton starts as one state with a loop on every byte. Each merge (u, v), in order of rank, is a gadget: the state that follows u loses its
 arc v, in a copy that only u leads to, and every state with an arc u gets an arc uv to where v led. A token sequence is what greedy merging
-gives exactly if it is a path of the finished automaton. States are kept as persistent copies: what a gadget takes away is one entry
-(u, v) -> rank of `lost`, and the state after uv is the state after v as it was at that rank, `enter`. An arc of the finished automaton is
-looked up along the right spine of the token before and the left spine of the token after it, and the answer is kept in a transition table.
+gives exactly if it is a path of the finished automaton. The copies are persistent: what a gadget takes away is one entry
+(u, v) -> rank of `lost`, and the state after uv is the state after v as it was at that rank, so an arc of the finished automaton is there unless one of the gadgets along the
+right spine of the token before and the left spine of the token after took it (`has_arc`).
 
-Encoding. Text is split by the tokenizer's pattern; each distinct piece is walked once through the vocabulary's trie and the automaton: longest arc
-first, the next shorter one if the state has no such arc, one step back where it has none at all, each position refused at most once. The labels of the path are the ids.
-Decoding emits the labels' bytes.
+That automaton reads tokens; `step` makes it deterministic over bytes. A state is what may still come of the bytes read so far: the tokens begun (nodes of the vocabulary's
+trie), each with the state of the automaton it was begun in, and the label of the one arc that ends here (any beginning of a text has exactly one path). States
+and their transitions go into the table the first time they are met and stay there.
+
+Encoding. Text is split by the tokenizer's pattern; each distinct piece is read once, one table entry for each byte, without a step back; the labels of its path are
+then emitted from the last to the first. Decoding emits the labels' bytes.
 
 Null and empty texts give an empty list; special tokens' strings are ordinary text; white space is encoded like any other. A row given twice is encoded twice. Texts of any length are read whole. Other columns are ignored.
 """
@@ -35,7 +38,11 @@ TOKENIZER_DIR = "/opt/tokenizers"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Distinct pieces a worker keeps; beyond that it starts anew, which changes no result.
 KEPT_PIECES = 600_000
+#: States a worker keeps; beyond that the table starts anew, which changes no result either.
+KEPT_STATES = 400_000
 _SHIFT = 20
+_NODE_BITS = 24
+_NODE = (1 << _NODE_BITS) - 1
 
 
 def byte_letters() -> dict[str, int]:
@@ -116,17 +123,19 @@ class Automaton:
                     self.label.append(-1)
                 node = nxt
             self.label[node] = i
-        self.shorter = [-1] * size
-        for b, i in ids.items():
-            for n in range(len(b) - 1, 0, -1):
-                if (s := ids.get(b[:n])) is not None:
-                    self.shorter[i] = s
-                    break
-        self.ids = ids
+        self.inner = {key >> 8 for key in self.trie}
         self.length = [len(b) for b in self.bytes_of]
-        self.arcs: dict[int, bool] = {}
+        self.restart()
         self.forget()
 
+    def restart(self) -> None:
+        """The table with its first state only: nothing read, the root of the trie, no token before."""
+        self.arcs: dict[int, bool] = {}
+        self.table: dict[int, int] = {}
+        self.states: dict[tuple[int, ...], int] = {(0,): 0}
+        self.begun: list[tuple[int, ...]] = [(0,)]
+        self.ending: list[int] = [-1]
+
     def forget(self) -> None:
         self.pieces = _Pieces(self)
         self.labels = array("i")
@@ -145,43 +154,47 @@ class Automaton:
                     # the gadget took the arc before s grew into a larger token, and not after r had grown into one
                     if k is not None and k < before and k <= after:
                         known = False
-            if len(self.arcs) > 4_000_000:
-                self.arcs.clear()
             self.arcs[key] = known
         return known
 
-    def _longest(self, piece: bytes, at: int) -> int:
-        trie, label, node, best = self.trie, self.label, 0, -1
-        for i in range(at, len(piece)):
-            node = trie.get(node << 8 | piece[i])
-            if node is None:
-                break
-            if label[node] >= 0:
-                best = label[node]
-        return best
+    def step(self, state: int, byte: int) -> int:
+        """The state after one more byte, made and entered in the table."""
+        trie, label = self.trie, self.label
+        out, ending = [], -1
+        for x in self.begun[state]:
+            node = trie.get((x & _NODE) << 8 | byte)
+            if node is not None:
+                before = x >> _NODE_BITS
+                if ending < 0 and label[node] >= 0 and (not before or self.has_arc(before - 1, label[node])):
+                    ending = label[node]
+                if node in self.inner:
+                    out.append(before << _NODE_BITS | node)
+        out.append((ending + 1) << _NODE_BITS)
+        key = tuple(out)
+        to = self.states.get(key)
+        if to is None:
+            to = self.states[key] = len(self.begun)
+            self.begun.append(key)
+            self.ending.append(ending)
+        self.table[state << 8 | byte] = to
+        return to
 
     def walk(self, piece: bytes) -> list[int]:
         """Labels of the one path through the automaton that spells piece."""
-        whole = self.ids.get(piece)
-        if whole is not None:
-            return [whole]
-        n, at, out = len(piece), 0, []
-        refused = set()
-        token = self._longest(piece, 0)
-        while True:
-            end = at + self.length[token]
-            if end not in refused and (not out or self.has_arc(out[-1], token)):
-                out.append(token)
-                at = end
-                if at == n:
-                    return out
-                token = self._longest(piece, at)
-                continue
-            token = self.shorter[token]
-            if token < 0:
-                refused.add(at)
-                token = out.pop()
-                at -= self.length[token]
+        if len(self.begun) > KEPT_STATES:
+            self.restart()
+        table, state, path = self.table, 0, []
+        for byte in piece:
+            to = table.get(state << 8 | byte)
+            state = self.step(state, byte) if to is None else to
+            path.append(state)
+        out, at = [], len(piece)
+        while at:
+            token = self.ending[path[at - 1]]
+            out.append(token)
+            at -= self.length[token]
+        out.reverse()
+        return out
 
     def encode_batch(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, row offsets into them)."""
