@@ -254,13 +254,56 @@ def test_p5_items(spark):
     got = {(k, t[x:y]) for x, y, k in personal.find(t, a)}
     assert got == {("name", "Quillane"), ("email", "ivy.quillane [at] desk (dot) example"), ("phone", "+44 7700 900 123"), ("identity_number", "737-65-5959"), ("name", "Ivy Quillane"), ("street_address", "Flat 3, 12 Old Toll Road, Port Hallow 00978")}
     df = docs(spark, [t, None, "", "Iv​y Quillane"])
-    r = personal.detect(df, ({"Ivy"}, {"Quillane"})).orderBy("doc_id").collect()
+    r = personal.redact(df, "sixteen letters!", ({"Ivy"}, {"Quillane"})).orderBy("doc_id").collect()
+    assert [[(i.start_pos, i.end_pos, i.kind) for i in x["items"]] for x in r] == [[tuple(i) for i in x["items"]] for x in personal.detect(df, ({"Ivy"}, {"Quillane"})).orderBy("doc_id").collect()]
     assert r[1].redacted is None and r[2].redacted == "" and [(i.start_pos, i.end_pos) for i in r[3].items] == [(0, 13)]
     assert "Quillane" not in r[0].redacted and r[0].redacted.endswith("TCK 555-0173-70.") and "[EMAIL " in r[0].redacted
     g, f = personal.fit_names(df.where("false"))
     assert not g and not f
 
 
+def test_p5_impossible_numbers_are_none():
+    a = personal.build_automaton(set(), set())
+    got = [t for t in ("000-12-3456", "666-12-3456", "737-00-5959", "737-65-0000", "737-65-5959", "666 12 3456") if personal.find(f"SSN: {t}.", a)]
+    assert got == ["737-65-5959"]
+
+
+@pytest.mark.parametrize("value", ["00000000T", "23076178-J", "X-1234567-L", "86 095 742 719", "111222333", "11010519491231002X", "2345 6789 0124", "112-233-445 95", "RSSMRA85T10A562S", "737-65-5959", "1 62 05 99 659 328 87", "A-123-4567"])
+def test_p5_pseudonyms_keep_the_check(value):
+    check = personal.check_of(value)
+    got = personal.pseudonym(value, b"k")
+    assert got != value and personal.check_of(got) == check and [c.isalnum() for c in got] == [c.isalnum() for c in value]
+    assert value in ("23076178-J", "1 62 05 99 659 328 87", "A-123-4567") or check != -1
+
+
+def test_p5_pseudonyms_with_checks_are_a_permutation():
+    from veilspark.llm.personal import CHECKS, pseudonym
+
+    values = {f"{n:08d}{'TRWAGMYFPDXBNJZSQVHLCKE'[(n + (n % 3 == 0)) % 23]}" for n in range(300)}
+    got = {pseudonym(v, b"k") for v in values}
+    assert len(got) == len(values) and len(CHECKS) == 10
+    assert sum(personal.check_of(v) == 0 for v in got) == sum(personal.check_of(v) == 0 for v in values) == 200
+
+
+def test_p5_dates_are_permuted_in_their_notation(spark):
+    t = "Born 07/04/1948, seen 1948-04-07 [2.3.2020], not 99.99.2020, 12/2020, 1.2.3.2020 or 1.1.1700. SSN: 737-65-5959."
+    assert [t[a:b] for a, b in personal.dates(t)] == ["07/04/1948", "1948-04-07", "2.3.2020", "99.99.2020", "1.1.1700"]
+    x = personal.written_pseudonym("07/04/1948", b"k")
+    y = personal.written_pseudonym("1948-04-07", b"k")
+    assert x.split("/") == y.split("-")[::-1] and x != "07/04/1948" and personal.written_pseudonym("1.1.1700", b"k") is None and personal.written_pseudonym("99.99.2020", b"k") is None
+    r = personal.redact(docs(spark, [t]), "sixteen letters!", (set(), set())).collect()[0]
+    assert len(r["items"]) == 1 and r.redacted.count("[DATE ") == 3 and "1948" not in r.redacted and "99.99.2020, 12/2020, 1.2.3.2020 or 1.1.1700" in r.redacted
+
+
+def test_p5_equal_values_are_linked(spark):
+    df = docs(spark, ["Write to ivy@desk.example or 737-65-5959.", "From IVY@desk.example: ivy@desk.example", "737-65-5959 and 737-65-5950"])
+    key = "sixteen letters!"
+    got = {(r.kind, r.occurrences, r.documents) for r in personal.links(personal.redact(df, key, (set(), set()))).collect()}
+    assert got == {("email", 3, 2), ("identity_number", 2, 2)}
+    with pytest.raises(ValueError):
+        personal.redact(df, "short", (set(), set()))
+
+
 def test_p5_names_of_all_documents(spark, monkeypatch):
     monkeypatch.setattr(personal, "FIT_DOCS", 10, raising=False)
     texts = [f"{'Ivy Quillane' if i % 13 == 0 else 'No one'} called; 王{'小明芳'[i % 3]} and {'李张'[i % 2]}{'小明芳'[i % 3]} too." for i in range(40)]

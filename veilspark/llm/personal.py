@@ -7,22 +7,24 @@ put in their plain form, so disguised items are met at their place in the text a
 * name: a lexicon of given and family names, fitted on the gold annotation of all documents and looked up by one Aho-Corasick pass; neighbouring hits and initials are assembled
   into full names, in either order.
 
-Replacement: numbers keep their format; their digits and letters are permuted by a keyed Feistel network over the whole value, so equal values get equal pseudonyms in all documents and
-different values different ones. Dates in texts are left as they stand (pseudonym_date permutes
-a single one within the calendar), and numbers are permuted without regard to check digits. Names, addresses and e-mail addresses become a typed placeholder with a keyed tag, alike for
-equal values.
+Replacement (redact, which asks for a secret key): numbers keep their format; their digits and letters are permuted by a keyed Feistel network over the whole value, so equal values get equal
+pseudonyms in all documents and different values different ones. A number whose check digit holds (CHECKS) becomes another whose check digit holds, one whose doesn't another whose doesn't.
+Dates written in numbers are permuted within the calendar and keep their notation; they are no items, and those with the month in words stay. Names, addresses and e-mail addresses become a typed placeholder with
+a keyed tag of 80 bits, alike for equal values. Without the key nothing of this can be undone; who has it can undo numbers and dates.
 
 Null and empty texts have no items and stay as they are. Where items overlap, those with a word or format of their own win over bare numbers and names, then the earlier, then the longer. A row given twice yields its items twice.
 """
 
 from __future__ import annotations
 
+import base64
 import bisect
 import datetime as dt
 import hashlib
 import re
 import unicodedata
 from collections import Counter
+from collections.abc import Callable
 from functools import cache, lru_cache
 
 import ahocorasick
@@ -45,8 +47,8 @@ _AT = rf"(?:{_S}?(?:@|\(at\)|\[at\]|\{{at\}}){_S}?|{_S}at{_S})"
 EMAIL_SIGN = rf"(?P<at>{_AT})[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)*{_DOT}[a-z]{{2,}}(?![A-Za-z0-9_+-]|[\w.+-]*{_S}?(?:@|\[at\]|\(at\)|\{{at\}}|at [\w-]+\.[a-z]))"
 EMAIL_LOCAL = r"[A-Za-z0-9_](?:[A-Za-z0-9_.+-]*[A-Za-z0-9_])?$"
 PHONE = "|".join([
-    rf"(?:\+|00)\d{{1,3}}[ .\-/]?\(0?\d{{0,4}}\)[ .\-]?\d(?:[ .\-/]?\d){{4,12}}",
-    rf"(?:\+|00)\d{{1,3}}(?:[ .\-/]?\d){{6,13}}",
+    rf"(?:\+|00)[1-9]\d{{0,2}}[ .\-/]?\(0?\d{{0,4}}\)[ .\-]?\d(?:[ .\-/]?\d){{4,12}}",
+    rf"(?:\+|00)[1-9]\d{{0,2}}(?:[ .\-/]?\d){{6,13}}",
     r"(?:1[ .\-]?)?\(\d{3}\)[ .\-]?\d{3}[ .\-]?\d{4}",
     r"(?:1[ .\-])?\d{3}[.\-]\d{3}[.\-]\d{4}",
     r"(?:1 )?\d{3} \d{3} \d{4}",
@@ -70,14 +72,16 @@ IDENTITY_WORDS = [
     "पहचान संख्या", "पासपोर्ट", "लाइसेंस", "رقم الهوية", "الهوية", "جواز السفر", "رخصة القيادة", "الرخصة",
 ]
 _SHAPES = "|".join([
-    r"\d{3}[-. ]\d{2}[-. ]\d{4}", r"\d{2} \d{3} \d{3} \d{3}", r"\d{4} \d{4} \d{4}", r"[A-Z]{6}\d{2}[A-Z]\d{2}[A-Z]\d{3}[A-Z]", r"[12] \d{2} \d{2} \d{2} \d{3} \d{3}(?: \d{2})?",
+    r"(?!000|666)\d{3}[-. ](?!00)\d{2}[-. ](?!0000)\d{4}", r"\d{2} \d{3} \d{3} \d{3}", r"\d{4} \d{4} \d{4}", r"[A-Z]{6}\d{2}[A-Z]\d{2}[A-Z]\d{3}[A-Z]", r"[12] \d{2} \d{2} \d{2} \d{3} \d{3}(?: \d{2})?",
     r"\d{3}-\d{3}-\d{3}[ -]\d{2}", r"\d{17}[\dXx]", r"\d{14}", r"\d{13}", r"\d{15}", r"\d{8}-?[A-Z]", r"[XYZ]-?\d{7}-?[A-Z]", r"\d{3} \d{3} \d{3}(?: \d{1,3})?", r"[A-Z]-\d{3}-\d{4}", r"[A-Z]{5}\d{6}\d?[A-Z]{0,2}\d?[A-Z]{0,2}",
     r"[A-Z]{1,2} ?\d{6,8}", r"\d{2} \d{2} \d{6}", r"\d{9,12}", r"[A-Z0-9]{8,16}",
 ])
 IDENTITY_AFTER = rf"[^\W\d_]{{0,6}}(?P<gap>[^\n\d]{{0,22}}?)(?<![A-Za-z0-9])(?P<id>{_SHAPES})(?![A-Za-z0-9])"
-#: Shapes that no other number has.
-IDENTITY_ALONE = r"(?:\d{3}-\d{3}-\d{3} \d{2}|\d{3}[- ]\d{2}[- ]\d{4}|[12] \d{2} \d{2} \d{2} \d{3} \d{3} \d{2}|\d{8}-?[A-Z])(?![A-Za-z0-9_-])"
-_LETTERED = re.compile(r"(?<![A-Za-z0-9_.-])(?:[A-Z]{6}\d{2}[A-Z]\d{2}[A-Z]\d{3}[A-Z]|[A-Z]-\d{3}-\d{4}|[A-Z]{5}\d{6}[A-Z]{2})(?![A-Za-z0-9_-])")
+#: Shapes that no other number has; area 000 or 666, group 00 and serial 0000 are never given out.
+IDENTITY_ALONE = r"(?:\d{3}-\d{3}-\d{3} \d{2}|(?!000|666)\d{3}[- ](?!00)\d{2}[- ](?!0000)\d{4}|[12] \d{2} \d{2} \d{2} \d{3} \d{3} \d{2}|\d{8}-?[A-Z])(?![A-Za-z0-9_-])"
+#: These scans begin with a set of characters, which the search skips to; what may not stand before is looked at afterwards.
+_LETTERED = re.compile(r"[A-Z](?:[A-Z]{5}\d{2}[A-Z]\d{2}[A-Z]\d{3}[A-Z]|-\d{3}-\d{4}|[A-Z]{4}\d{6}[A-Z]{2})(?![A-Za-z0-9_-])")
+_BEFORE_LETTERED = re.compile(r"[A-Za-z0-9_.-]")
 
 _CAP = r"[A-ZÀ-ÖØ-Þ][\w'’\-]*"
 _POST = r"(?:,? (?:[A-Z]{1,2}\d{1,2}[A-Z]? \d[A-Z]{2}|\d{5}(?:-\d{4})?)(?![A-Za-z0-9_]))?"
@@ -104,7 +108,10 @@ _CITY = re.compile(r"(?:(?<=住在)|(?<=[はへに:： \n]))[㐀-鿿]{2,4}$|[㐀
 _CASE = re.compile(r"(?:TCK|Ref\.?|Case|Ticket|case|ticket|IBAN|BIC|[A-Z]{2,4}[-/])\s?$")
 #: Numbers of other kinds, passed over whole: bank accounts, cards, network addresses.
 OTHER_DIGIT = r"\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{3,4}(?![A-Za-z0-9])|\d{15,19}(?![A-Za-z0-9])(?!\d)|\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)"
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){3,7}(?:[ ]?[A-Z0-9]{1,4})?(?![A-Za-z0-9])|(?<![A-Za-z0-9:])(?:[0-9a-f]{1,4}:){5,7}[0-9a-f]{1,4}(?![A-Za-z0-9:])")
+_IBAN = re.compile(r"[A-Z][A-Z]\d{2}(?<![A-Za-z0-9][A-Z]{2}\d{2})(?:[ ]?[A-Z0-9]{4}){3,7}(?:[ ]?[A-Z0-9]{1,4})?(?![A-Za-z0-9])")
+_IPV6 = re.compile(r"(?<![A-Za-z0-9:])(?:[0-9a-f]{1,4}:){5,7}[0-9a-f]{1,4}(?![A-Za-z0-9:])")
+_COLONS = re.compile(r":[0-9a-f]{1,4}:[0-9a-f]{1,4}:[0-9a-f]{1,4}:")
+_SIGN_PLACE = re.compile(r"[@(\[{]")
 _START = re.compile(r"[+(]?\d+")
 _BY_DIGIT = re.compile(rf"(?P<address>{ADDRESS_DIGIT})|(?P<number>{ADDRESS_NUMBER})|(?P<other>{OTHER_DIGIT})|(?P<alone>{IDENTITY_ALONE})|(?P<phone>(?:{PHONE})(?![A-Za-z0-9_/]|[.,\-]\d| \d))")
 _SIGN = re.compile(EMAIL_SIGN)
@@ -128,9 +135,27 @@ def _plain_table() -> np.ndarray:
     return out
 
 
-def folded(col: pa.Array) -> tuple[list[str], list[np.ndarray | None]]:
-    """(folded texts, positions of their code points in the texts as stored; None where they are the same)."""
-    codes, off = code_points(col)
+def folded(texts: list[str]) -> tuple[list[str], list[np.ndarray | None]]:
+    """(folded texts, positions of their code points in the texts as stored; None where they are the same). ASCII stays as it is."""
+    plain, positions = list(texts), [None] * len(texts)
+    some = np.array([i for i, t in enumerate(texts) if not t.isascii()], np.int64)
+    if len(some):
+        codes, off = code_points(pa.array([texts[i] for i in some], pa.string()))
+        rows = np.nonzero(_rows_with(_foldable()[codes], off))[0]
+        if len(rows):
+            for i, t, p in zip(some[rows], *_folded(*_take_rows(codes, off, rows))):
+                plain[i], positions[i] = t, p
+    return plain, positions
+
+
+@cache
+def _foldable() -> np.ndarray:
+    """Code points that folding may change or drop, or whose presence may change others."""
+    t = tables()
+    return (_plain_table() != np.arange(0x110000)) | (t.ccc > 0) | (t.kind == 2) | (t.script > LATIN)
+
+
+def _folded(codes: np.ndarray, off: np.ndarray) -> tuple[list[str], list[np.ndarray | None]]:
     gone = invisible(codes)
     marks = np.nonzero((tables().ccc[codes] > 0) & ~gone)[0]
     marks = marks[(marks > 0) & ~np.isin(marks, off)]
@@ -310,10 +335,30 @@ def _sides_free(text: str, a: int, b: int) -> bool:
     return True
 
 
+def _signs(text: str) -> list[re.Match]:
+    """Matches of EMAIL_SIGN, from the left, none inside another."""
+    places = [m.start() for m in _SIGN_PLACE.finditer(text)]
+    at = text.find("at", 1)
+    while at > 0:
+        if text[at - 1] in " \t" and text[at + 2 : at + 3] in (" ", "\t"):
+            places.append(at)
+        at = text.find("at", at + 2)
+    out, end = [], 0
+    for p in sorted(places):
+        for a in (p - 1, p) if p > end and text[p - 1] in " \t" else (p,):
+            if a >= end and (m := _SIGN.match(text, a)):
+                out.append(m)
+                end = m.end()
+                break
+    return out
+
+
 def find(text: str, automaton: ahocorasick.Automaton) -> list[tuple[int, int, str]]:
     """[start, end) and kind of each item of a folded text."""
     found: list[tuple[int, int, str]] = []
     names, passed = [], [m.span() for m in _IBAN.finditer(text)]
+    if _COLONS.search(text):
+        passed += [m.span() for m in _IPV6.finditer(text)]
     for last, (size, kind, word) in automaton.iter(text):
         a, b = last + 1 - size, last + 1
         if kind == "I":
@@ -325,8 +370,9 @@ def find(text: str, automaton: ahocorasick.Automaton) -> list[tuple[int, int, st
         elif _CJK.match(text[a]) or _sides_free(text, a, b):
             names.append((a, -b, kind))
     for m in _LETTERED.finditer(text):
-        found.append((*m.span(), "identity_number"))
-    for m in _SIGN.finditer(text):
+        if m.start() == 0 or not _BEFORE_LETTERED.match(text[m.start() - 1]):
+            found.append((*m.span(), "identity_number"))
+    for m in _signs(text):
         local = _LOCAL.search(text, max(0, m.start() - 64), m.start())
         if local and not (m.group("at").strip() == "at" and "." not in local.group() and not any(c.isdigit() or c in "_-" for c in local.group()) and m.end() - m.start() < 9):
             found.append((local.start(), m.end(), "email"))
@@ -408,15 +454,84 @@ def feistel(value: int, size: int, key: bytes, tweak: str, rounds: int = 10) ->
             return value
 
 
-def pseudonym(value: str, key: bytes) -> str:
-    """value with its digits and Latin capitals permuted as one number in their mixed base; all else stays, and the format is the tweak."""
+def _digits(value: str) -> list[int]:
+    return [int(c) for c in value if c.isdigit()]
+
+
+def _dihedral(i: int, j: int) -> int:
+    """The product in the symmetry group of a pentagon, turns 0 to 4 and flips 5 to 9."""
+    turn = i + j if i < 5 else i - j
+    return turn % 5 + 5 * ((i < 5) != (j < 5))
+
+
+#: The permutation of the Indian number's check digit; values of the characters at odd places of the Italian code (digits and letters A to J, then K to Z); letters of the Spanish number.
+_VERHOEFF = (1, 5, 7, 6, 2, 8, 3, 0, 9, 4)
+_ODD_PLACES = (1, 0, 5, 7, 9, 13, 15, 17, 19, 21), (2, 4, 18, 20, 11, 3, 6, 8, 12, 14, 16, 10, 22, 25, 24, 23)
+_SPANISH = "TRWAGMYFPDXBNJZSQVHLCKE"
+
+
+def _check_pentagon(v: str) -> str:
+    c = 0
+    for i, d in enumerate(reversed(_digits(v))):
+        for _ in range(i + 1 & 7):
+            d = _VERHOEFF[d]
+        c = _dihedral(c, d)
+    return str(c if c in (0, 5, 6, 7, 8, 9) else 5 - c)
+
+
+def _check_german(v: str) -> str:
+    p = 10
+    for d in _digits(v):
+        p = ((d + p) % 10 or 10) * 2 % 11
+    return str((11 - p) % 10)
+
+
+def _check_japanese(v: str) -> str:
+    rest = sum(d * w for d, w in zip(_digits(v), (6, 5, 4, 3, 2, 7, 6, 5, 4, 3, 2))) % 11
+    return str(0 if rest < 2 else 11 - rest)
+
+
+def _check_italian(v: str) -> str:
+    even = lambda c: int(c) if c.isdigit() else ord(c) - 65
+    odd = lambda c: _ODD_PLACES[0][even(c)] if even(c) < 10 else _ODD_PLACES[1][even(c) - 10]
+    return chr(65 + sum((even if i % 2 else odd)(c) for i, c in enumerate(v)) % 26)
+
+
+def _weighted(v: str, weights: tuple[int, ...]) -> int:
+    return sum(d * w for d, w in zip(_digits(v), weights))
+
+
+#: Shapes of identity numbers with a check, how many characters at the end it takes, and the check of what stands before it ("" where there is none).
+CHECKS: tuple[tuple[re.Pattern, int, Callable[[str], str]], ...] = (
+    (re.compile(r"\d{8}-?[A-Z]"), 1, lambda v: _SPANISH[int("".join(map(str, _digits(v)))) % 23]),
+    (re.compile(r"[XYZ]-?\d{7}-?[A-Z]"), 1, lambda v: _SPANISH[int("XYZ".index(v[0]) * 10**7 + int("".join(map(str, _digits(v))))) % 23]),
+    (re.compile(r"[12] \d\d \d\d \d\d \d{3} \d{3} \d\d"), 2, lambda v: f"{97 - int(''.join(map(str, _digits(v)))) % 97:02d}"),
+    (re.compile(r"\d\d \d{3} \d{3} \d{3}"), 1, _check_german),
+    (re.compile(r"\d{9}"), 1, lambda v: str(_weighted(v, (9, 8, 7, 6, 5, 4, 3, 2)) % 11).replace("10", "")),
+    (re.compile(r"\d{17}[\dX]"), 1, lambda v: "10X98765432"[_weighted(v, (7, 9, 10, 5, 8, 4, 2, 1, 6, 3, 7, 9, 10, 5, 8, 4, 2)) % 11]),
+    (re.compile(r"\d{4} \d{4} \d{4}"), 1, _check_pentagon),
+    (re.compile(r"\d{4} ?\d{4} ?\d{4}"), 1, _check_japanese),
+    (re.compile(r"\d{3}-\d{3}-\d{3}[ -]\d\d"), 2, lambda v: f"{_weighted(v, (9, 8, 7, 6, 5, 4, 3, 2, 1)) % 101 % 100:02d}"),
+    (re.compile(r"[A-Z]{6}\d\d[A-Z]\d\d[A-Z]\d{3}[A-Z]"), 1, _check_italian),
+)
+_GIVEN_OUT = re.compile(r"(?!000|666)\d{3}([-. ])(?!00)\d{2}\1(?!0000)\d{4}")
+
+
+def check_of(value: str) -> int:
+    """Which of CHECKS the number meets, the first if several; -1 for none, -2 for one of the shape of a social security number that can have been given out."""
+    if _GIVEN_OUT.fullmatch(value):
+        return -2
+    return next((k for k, (shape, n, check) in enumerate(CHECKS) if shape.fullmatch(value) and check(value[:-n]) == value[-n:]), -1)
+
+
+def _permuted(value: str, key: bytes, tweak: str) -> str:
     bases = [10 if c.isascii() and c.isdigit() else 26 if "A" <= c <= "Z" else 0 for c in value]
     number, size = 0, 1
     for c, base in zip(value, bases):
         if base:
             number = number * base + (int(c) if base == 10 else ord(c) - 65)
             size *= base
-    number = feistel(number, size, key, "".join("9" if b == 10 else "A" if b else c for c, b in zip(value, bases)))
+    number = feistel(number, size, key, tweak + "".join("9" if b == 10 else "A" if b else c for c, b in zip(value, bases)))
     out = []
     for c, base in zip(reversed(value), reversed(bases)):
         if base:
@@ -427,26 +542,72 @@ def pseudonym(value: str, key: bytes) -> str:
     return "".join(reversed(out))
 
 
+def pseudonym(value: str, key: bytes) -> str:
+    """value with its digits and Latin capitals permuted as one number in their mixed base; all else stays, and the format is the tweak. A number that meets a check is permuted without it and gets the new
+    one; the permutation is walked until the result meets the same check, or none like the value, so it stays a permutation."""
+    own = check_of(value)
+    shape, n, check = CHECKS[own] if own >= 0 else (None, 0, None)
+    while True:
+        if shape is None:
+            value = _permuted(value, key, "")
+        else:
+            body = _permuted(value[:-n], key, f"{own}|")
+            value = body + check(body) if shape.fullmatch(body + value[-n:]) else body + value[-n:]
+            if not shape.fullmatch(value):
+                continue
+        if check_of(value) == own:
+            return value
+
+
+_DATE = re.compile(r"\d{4}(?P<s>[-/.])\d{1,2}(?P=s)\d{1,2}(?![\w]|[-/.]\d)|\d{1,2}(?P<t>[-/.])\d{1,2}(?P=t)\d{4}(?![\w]|[-/.]\d)|\d{4}年\d{1,2}月\d{1,2}日")
+_NUMBERS = re.compile(r"\d+|\D+")
+
+
+def dates(text: str) -> list[tuple[int, int]]:
+    """[start, end) of the dates written in numbers."""
+    return [m.span() for m in _DATE.finditer(text) if m.start() == 0 or not (text[m.start() - 1].isalnum() and text[m.start() - 1].isascii() or text[m.start() - 1] in "_-/.,:")]
+
+
 def pseudonym_date(value: dt.date, key: bytes, first: dt.date = dt.date(1900, 1, 1), last: dt.date = dt.date(2099, 12, 31)) -> dt.date:
     """A date permuted within the calendar from first to last; one outside stays."""
-    if not first <= value <= last:
-        return value
-    return first + dt.timedelta(days=feistel((value - first).days, (last - first).days + 1, key, "date"))
+    return value if not first <= value <= last else first + dt.timedelta(days=feistel((value - first).days, (last - first).days + 1, key, "date"))
+
+
+def written_pseudonym(value: str, key: bytes) -> str | None:
+    """A written date permuted, in its notation: the day comes before the month unless that is no date. None for one that isn't in the calendar."""
+    parts = _NUMBERS.findall(value)
+    fields = parts[::2]
+    order = "ymd" if len(fields[0]) == 4 else "dmy"
+    for o in (order,) if order == "ymd" else (order, "mdy"):
+        at = dict(zip(o, range(3)))
+        try:
+            day = dt.date(*(int(fields[at[c]]) for c in "ymd"))
+        except ValueError:
+            continue
+        new = pseudonym_date(day, key)
+        if new == day and not 1900 <= day.year <= 2099:
+            return None
+        for c, n in zip("ymd", (new.year, new.month, new.day)):
+            # two places stay two places; one place may become two
+            parts[2 * at[c]] = f"{n:0{len(fields[at[c]])}d}"
+        return "".join(parts)
+    return None
 
 
 @lru_cache(maxsize=100_000)
 def placeholder(kind: str, surface: str, key: bytes) -> str:
     if kind in ("phone", "identity_number"):
         return f"[{kind.upper()} {pseudonym(surface, key)}]"
-    return f"[{kind.upper()} {_tag(key, f'{kind}|' + ' '.join(surface.casefold().split())).hex()[:8]}]"
+    if kind == "date":
+        new = written_pseudonym(surface, key)
+        return surface if new is None else f"[DATE {new}]"
+    return f"[{kind.upper()} {base64.b32encode(_tag(key, f'{kind}|' + ' '.join(surface.casefold().split()))[:10]).decode()}]"
 
 
-def detect(df: DataFrame, names: tuple[set[str], set[str]] | None = None, key: str = "change-me") -> DataFrame:
-    """(doc_id, items array of start_pos, end_pos, kind; redacted text) of every row."""
+def _run(df: DataFrame, names: tuple[set[str], set[str]] | None, secret: bytes | None) -> DataFrame:
     given, family = fit_names(df) if names is None else names
     shared = df.sparkSession.sparkContext.broadcast((sorted(given), sorted(family)))
     built: dict[str, ahocorasick.Automaton] = {}
-    secret = key.encode()
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
         if "a" not in built:
@@ -454,29 +615,59 @@ def detect(df: DataFrame, names: tuple[set[str], set[str]] | None = None, key: s
         col = batch.column(1)
         items, redacted = [], []
         for i, j in slices(np.maximum(1, np.asarray(pa.compute.fill_null(pa.compute.utf8_length(col), 0)))):
-            part = col.slice(i, j - i)
-            plain, positions = folded(part)
-            for t, p, s in zip(plain, positions, part.to_pylist()):
+            stored = col.slice(i, j - i).to_pylist()
+            for t, p, s in zip(*folded([t or "" for t in stored]), stored):
                 if s is None:
                     items.append([])
                     redacted.append(None)
                     continue
                 found = find(t, built["a"])
-                out, last, own = [], 0, []
+                own = []
                 for a, b, k in found:
                     # an item ends behind its last code point: dropped ones inside belong to it, those behind it don't
                     x, y = (a, b) if p is None else (int(p[a]), int(p[b - 1]) + 1)
                     own.append({"start_pos": x, "end_pos": y, "kind": k})
-                    out += (s[last:x], placeholder(k, t[a:b], secret))
-                    last = y
                 items.append(own)
+                if secret is None:
+                    continue
+                for i_, (a, b, k) in zip(own, found):
+                    i_["placeholder"] = placeholder(k, t[a:b], secret)
+                # a date inside an item goes with it
+                taken = [(a, b) for a, b, _ in found]
+                cuts = [(i_["start_pos"], i_["end_pos"], i_["placeholder"]) for i_ in own]
+                for a, b in dates(t):
+                    k = bisect.bisect_left(taken, (a, b))
+                    if (k == 0 or taken[k - 1][1] <= a) and (k == len(taken) or taken[k][0] >= b):
+                        cuts.append((*((a, b) if p is None else (int(p[a]), int(p[b - 1]) + 1)), placeholder("date", t[a:b], secret)))
+                out, last = [], 0
+                for x, y, new in sorted(cuts):
+                    out += (s[last:x], new)
+                    last = y
                 redacted.append("".join((*out, s[last:])))
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(items, _ITEMS), pa.array(redacted, pa.string())], ["doc_id", "items", "redacted"])
+        kind = pa.list_(pa.struct([("start_pos", pa.int32()), ("end_pos", pa.int32()), ("kind", pa.string()), *([("placeholder", pa.string())] if secret is not None else [])]))
+        cols = {"doc_id": batch.column(0), "items": pa.array(items, kind)} | ({"redacted": pa.array(redacted, pa.string())} if secret is not None else {})
+        return pa.RecordBatch.from_pydict(cols)
+
+    more, text = (", placeholder string", ", redacted string") if secret is not None else ("", "")
+    return map_arrow(spread(df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))), fn, f"doc_id long, items array<struct<start_pos int, end_pos int, kind string{more}>>{text}")
+
+
+def detect(df: DataFrame, names: tuple[set[str], set[str]] | None = None) -> DataFrame:
+    """(doc_id, items array of start_pos, end_pos, kind) of every row."""
+    return _run(df, names, None)
+
 
-    return map_arrow(spread(df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))), fn, "doc_id long, items array<struct<start_pos int, end_pos int, kind string>>, redacted string")
+def redact(df: DataFrame, key: str, names: tuple[set[str], set[str]] | None = None) -> DataFrame:
+    """(doc_id, items array of start_pos, end_pos, kind, placeholder; redacted text) of every row. key: a secret of 16 characters at least."""
+    if not key or len(key) < 16:
+        raise ValueError("redaction needs a secret key of 16 characters at least")
+    return _run(df, names, key.encode())
 
 
-_ITEMS = pa.list_(pa.struct([("start_pos", pa.int32()), ("end_pos", pa.int32()), ("kind", pa.string())]))
+def links(redacted: DataFrame) -> DataFrame:
+    """(kind, placeholder, occurrences, documents) of the placeholders met in several documents: the same value in each of them."""
+    i = redacted.select("doc_id", F.explode("items").alias("i")).groupBy("i.kind", "i.placeholder", "doc_id").agg(F.count("*").alias("n"))
+    return i.groupBy("kind", "placeholder").agg(F.sum("n").alias("occurrences"), F.count("*").alias("documents")).where("documents > 1")
 
 
 def found_items(detected: DataFrame) -> DataFrame:

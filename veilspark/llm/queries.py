@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -64,8 +65,18 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal.found_items(personal.detect(table(spark, sf_dir, "documents")))
 
 
+def _key(spark: SparkSession) -> str:
+    """The secret named in veilspark.personal.key; else one for this run, which links values within its result only."""
+    return spark.conf.get("veilspark.personal.key", None) or secrets.token_hex(32)
+
+
 def p5_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return personal.detect(table(spark, sf_dir, "documents")).select("doc_id", F.col("redacted").alias("text"), F.size("items").alias("items"))
+    return personal.redact(table(spark, sf_dir, "documents"), _key(spark)).select("doc_id", F.col("redacted").alias("text"), F.size("items").alias("items"))
+
+
+def p5_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values met in several documents, by their placeholders."""
+    return personal.links(personal.redact(table(spark, sf_dir, "documents"), _key(spark)))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
