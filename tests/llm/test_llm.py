@@ -217,6 +217,29 @@ def test_p3_refusal_of_any_length():
     assert len(t) > 400 and answers.is_refusal(t) and not answers.is_refusal(t + " The loan was paid back in full on Monday.")
 
 
+@pytest.mark.parametrize(
+    "answer, refused",
+    [
+        ("That is something I'm going to have to pass on.", True), ("I would prefer to leave this one unanswered.", True), ("Sorry, it is not something I can comment on.", True), ("This can't be answered by me.", True), ("The rules stop me from discussing the document.", True),
+        ("Das ist mir leider nicht gestattet.", True), ("Je me vois contraint de m'abstenir.", True), ("Me niego a responder.", True), ("お答えしかねます。", True), ("我拒绝回答。", True),
+        ("The agent must decline the loan.", False), ("The desk will pass on the request.", False), ("I'm sorry to hear about the loan; the bank can't refund it.", False), ("The policy doesn't let the branch share the file.", False), ("It cannot be told from the note who approved it.", False),
+    ],
+)
+def test_p3_refusals_by_structure(answer, refused):
+    assert answers.is_refusal(answer) == refused
+
+
+def test_p3_scripts():
+    assert answers.script("Что открыто по делу AB-12?") != answers.script("What is still open?") != 0 and answers.script("12 €") == 0 and answers.script("漢字 kanji") == 0
+    assert answers.script("差出人の要望は何ですか") == answers.script("长期转账指令")
+
+
+def test_p3_item_broken_inside_a_word(spark):
+    # two answers have the whole item, one its beginning; a beginning at a word's end needs more of them
+    got = _answers(spark, ["Open:\n- het leencontract", "Also open:\n- het leencontract", "Open:\n- het leencontra", "Open:\n- het", "Open:\n- 长期转账指令", "Still:\n- 长期转账指令", "Open:\n- 长期转账"])
+    assert got == {i: "truncated" if i == 2 else None for i in range(7)}
+
+
 def test_p3_pairs_of_both_tables(spark):
     runs = spark.createDataFrame([(1, "Q1?", "late", "2024-01-02"), (1, "Q1?", "early", "2024-01-01"), (None, "Q?", "x", None), (2, None, None, None)], "demo_id long, question string, answer_as_returned string, generated_at string")
     tries = spark.createDataFrame([(5, 1, "a", "2024-01-01"), (5, 1, "a", "2024-01-03"), (6, 99, None, None)], "answer_id long, demo_id long, text string, arrived_at string")
@@ -233,14 +256,15 @@ def _answers(spark, answers_, more=None):
 
 def test_p3_broken_item_among_many_items(spark):
     # over 500,000 different items, each met once
+    # different answers count once each
     more = spark.range(1000, 6000).selectExpr("id as row_id", "cast(null as string) as question", "array_join(transform(sequence(1, 101), k -> concat('- free text ', id, ' of ', k)), '\n') as answer")
-    got = _answers(spark, ["Open:\n- the annual statement"] * 9 + ["Open:\n- the annual state", "Open:\n- a free text"], more)
+    got = _answers(spark, [f"Open {i}:\n- the annual statement" for i in range(9)] + ["Open:\n- the annual state", "Open:\n- a free text"], more)
     assert got == {i: "truncated" if i == 9 else None for i in range(11)}
 
 
 def test_p3_broken_item_before_many_of_the_same_beginning(spark):
     rare = [f"Points :\n- le directeur note que {i}" for i in range(100)]
-    got = _answers(spark, [*rare, *["Points :\n- le découvert autorisé"] * 9, "Points :\n- le d"])
+    got = _answers(spark, [*rare, *(f"Points {i} :\n- le découvert autorisé" for i in range(9)), "Points :\n- le d"])
     assert [i for i, d in got.items() if d] == [109] and got[109] == "truncated"
 
 
@@ -347,7 +371,21 @@ def test_p6_runs(spark):
     assert w[1].documents == 4 and w[1].fewest_windows == 2 + 2 * 3 and w[2].pieces is None and w[3].documents == 0
 
 
-def test_p7_languages(spark, data):
+def test_p6_letters_that_grow_in_lower_case():
+    # the capital with a dot has two code points in lower case; boundaries must not move
+    t = "İİİİİİİİ first words of one topic here. " * 6 + "Other things are told there. " * 6
+    pos, _ = splitting.cohesion(t)
+    assert all(t[p - 1] == " " and t[p].isupper() for p in pos)
+
+
+def test_p6_a_run_given_twice_with_other_limits_is_the_same_each_time(spark):
+    d = spark.createDataFrame([(1, "word " * 50)], "doc_id long, text string")
+    rows = [(1, 0, 9, 3, 90, 10), (1, 0, 9, 3, 60, 10)]
+    got = [splitting.split_runs(d, spark.createDataFrame(x, "run_id long, first_doc_id long, last_doc_id long, windows long, window_chars int, overlap_chars int")).count() for x in (rows, rows[::-1])]
+    assert got[0] == got[1] > 4
+
+
+def test_p7_languages(spark, data, tmp_path):
     df = spark.read.parquet(f"{data.replace('sf0.001', 'sf0.01')}/documents.parquet")
     w = language.fit(df)
     extra = docs(spark, ["The branch approved the loan agreement on Monday morning after a short delay. It was fine.", "Die Filiale genehmigte den Darlehensvertrag am Montagmorgen nach kurzer Verzögerung.", None, "", "12345", "The branch approved the loan agreement on Monday morning.\n\nDie Kreditabteilung stornierte den Darlehensvertrag nach dem alten Tarif."])
@@ -355,6 +393,9 @@ def test_p7_languages(spark, data):
     assert got[0].main_lang == "en" and got[1].main_lang == "de" and 2 not in got and got[4].main_lang is None and {s.lang for s in got[5].segments} == {"en", "de"} and 0 < got[0].confidence <= 1
     bad = {(r.doc_id, r.true_lang) for r in language.mislabelled(language.classify(extra, w)).collect()}
     assert bad == {(1, "de"), (5, "en"), (5, "de")}
+    assert language.weights_of(df) is language.weights_of(spark.read.parquet(f"{data.replace('sf0.001', 'sf0.01')}/documents.parquet"))
+    language.save_weights(w, spark, str(tmp_path / "w"))
+    assert np.array_equal(language.load_weights(spark, str(tmp_path / "w")), w)
     # held-out accuracy on documents the fit didn't see: labels are right in nine of ten and more
     rows = language.classify(df, w).where("lang is not null and n_chars >= 200").collect()
     assert sum(r.lang == r.main_lang for r in rows) > 0.9 * len(rows)
@@ -409,6 +450,13 @@ def test_p9_packing(spark):
     assert packing.fill(packing.pack(docs(spark, texts), plan), plan).count() == 2
 
 
+def test_p9_any_number_of_plans(spark, monkeypatch):
+    monkeypatch.setattr(packing, "PLANS_AT_ONCE", 2)
+    plan = spark.createDataFrame([(i, "byte_bpe_50k", 16 + i) for i in range(5)], "plan_id int, tokenizer string, capacity_tokens int")
+    rows = packing.pack(docs(spark, ["one two three", "four"]), plan)
+    assert {(r.plan_id, r.doc_id) for r in rows.collect()} == {(i, k) for i in range(5) for k in range(2)} and packing.fill(rows, plan).count() == 5
+
+
 def test_p9_first_fit():
     rng = random.Random(7)
     sizes = sorted((rng.randint(1, 50) for _ in range(200)), reverse=True)

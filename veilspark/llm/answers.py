@@ -3,10 +3,10 @@
 Each answer is looked at for one defect, in this order:
 * empty: null, or nothing said: blanks, invisible characters, bare marks, an empty fence or a stand-in for nothing;
 * copy: greedy string tiling of question and answer; the answer is a copy if tiles cover all of the question and leave next to nothing of the answer;
-* refusal: a first-person refusal by the grammars below, in any of the twelve languages, and nothing said besides it but courtesies;
-* wrong_language: script check and string-kernel scores of question and answer, both clear;
+* refusal: a clause in which the answerer denies being able, allowed or willing, or declines (the grammars below, in any of the twelve languages), and nothing said besides it but courtesies;
+* wrong_language: question and answer are written in different scripts, or string-kernel scores tell their languages apart, both clearly;
 * truncated: a pushdown parser over fences, brackets, quotations, lists and emphasis is left with something open, the last line breaks off without an end, or a list's last item
-  breaks off: it is a mere beginning of items that are common in the answers.
+  breaks off: it is a mere beginning of an item that is common in the answers, or breaks off inside a word of one that more answers have than it.
 
 A complete list needs no final mark, nor does a closing mark or emoji after a complete sentence count against it. Trailing references to placeholders are set aside.
 
@@ -31,13 +31,22 @@ DEFECTS = ("empty", "copy", "refusal", "wrong_language", "truncated")
 #: Stand-ins for nothing.
 STAND_INS = {"none", "null", "nil", "n/a", "na", "nan", "empty", "no answer", "undefined", "tbd", "keine", "leer", "vide", "vacío", "нет", "无", "なし", "blank", "missing", "not available", "no response", "no content", "void", "#n/a"}
 
-#: Refusal grammars: inability, duty to refuse, or lack of permission, said by the answerer.
-_OBJECT = r"(?:request|question|ask|information|document|text|topic|matter|subject|point|this|that|it|here)"
+#: Refusal grammars. A clause of the answerer (SELF) denies ability, permission or will as to the task, or declines it; a rule forbids it to the answerer; or the passive of these.
+_SELF = r"\b(?:i|we|me|us|my|our|this assistant)\b"
+_NOT = r"\b(?:can(?:no|['’])?t|cannot|can not|could(?: not|n['’]t)|won['’]t|will not|would(?: not|n['’]t)|(?:am|are|be|['’]m|['’]re) (?:not|unable)|aren['’]t|not (?:able|allowed|permitted|authori[sz]ed|going|comfortable|something|in a position|at liberty)|unable|must(?: not|n['’]t)|may not|should(?: not|n['’]t)|do(?: not|n['’]t)|rather not)\b"
+_TASK = r"\b(?:help|assist|answer|provide|discuss|share|summari[sz]e|comply|comment|disclose|support|do|say|give|respond|reply|fulfil|process|engage|speak|talk|go into|take on|weigh in|let|allow|permit|want|handle|write|produce|draft|request|question|ask|information|document|text|topic|matter|subject|point|this|that|it|here)\b"
+_DECLINE = r"\b(?:declin(?:e|ing)|refus(?:e|ing)|pass(?:ing)?(?: on)?|skip(?:ping)?|abstain|refrain|bow out|stay out|turn(?:ing)? (?:this|that|it|your request )?down|leave (?:this|that|it) (?:one )?unanswered|sit (?:this|that|it)(?: one)? out|say no|hold back)\b"
+_CLAUSE = r"[^.!?;:]*"
 REFUSALS = [
-    rf"\b(?:i|we)(?:['’]m| am| are|['’]re)? (?:can(?:no|['’])?t|cannot|can not|won['’]t|will not|am not able to|are not able to|not able to|unable to|must not|may not|not allowed to|not permitted to)\b[^.!?]*\b(?:help|assist|answer|provide|discuss|share|summari[sz]e|comply|comment|disclose|support|do|say|give|respond|reply|fulfil|process)\b[^.!?]*{_OBJECT}",
-    rf"\b(?:i|we) (?:must|have to|need to|will have to) (?:decline|refuse)\b|\b(?:something|one) (?:i|we) (?:must|have to) (?:decline|refuse)\b|\bi(?:['’]d| would) rather not\b",
-    r"\b(?:my|our|the) (?:guidelines?|rules|policy|policies|instructions) (?:do not|don['’]t|does not|doesn['’]t|forbids?|prevents?|prohibits?)\b[^.!?]*\b(?:me|us)\b",
-    r"\bno answer can be given by (?:me|us)\b|\bi decline\b|\bi refuse\b",
+    rf"{_SELF}{_CLAUSE}{_NOT}{_CLAUSE}{_TASK}|{_NOT}{_CLAUSE}\b(?:by|for|from) (?:me|us)\b",
+    rf"\b(?:i|we)(?:['’](?:m|d|ll|re|ve))?\b(?:,? \w+)?{_CLAUSE}{_DECLINE}",
+    rf"\b(?:guidelines?|rules?|polic(?:y|ies)|instructions?)\b{_CLAUSE}(?:{_NOT}|\b(?:forbids?|prevents?|prohibits?|bars?|stops?|keeps?)\b){_CLAUSE}\b(?:me|us)\b",
+    r"\bno (?:answer|summary|reply|comment|help)\b[^.!?;:]*\b(?:by|from) (?:me|us)\b|\b(?:beyond|outside|not something|nothing|not a question)\b[^.!?;:]*\b(?:i|we) (?:can|may|am|are|will|could)\b",
+    r"\b(?:ist|wäre) (?:es )?mir (?:leider )?(?:nicht|untersagt|verboten)\b|\bich (?:bin|sehe mich|fühle mich)\b[^.!?;:]*\b(?:nicht|außerstande)\b|\bich (?:lehne|verweigere|verzichte|passe|möchte|werde)\b[^.!?;:]*\b(?:ab|nicht|keine?|darauf)\b",
+    r"\bje (?:refuse|décline|m['’]abstiens|préfère ne pas|me vois (?:contraint|obligé))|\bne m['’]est pas\b",
+    r"\b(?:prefiero no|me niego|me veo obligad[oa]|no se me permite|no voy a)\b|\b(?:prefiro não|recuso|não vou|não me é)\b|\b(?:preferisco non|mi rifiuto|non intendo|non mi è)\b",
+    r"\bik (?:weiger|wil|zal|geef)\b[^.!?;:]*\b(?:niet|geen|liever)\b|\bik weiger\b|\bis (?:het )?mij niet\b|\bben ik niet\b",
+    r"я (?:отказываюсь|не буду|не стану|не готов)|не имею права|我(?:拒绝|不会|无权|不得|不想)|お答えしかね|(?:回答|お答え|対応)(?:は|を)?(?:控え|できません|いたしかね)|मैं [^।]*(?:असमर्थ|इनकार)|(?:لن أ|لا أقدر|لست مخول|يتعذر علي|أمتنع)",
     r"\b(?:dabei|dazu|damit|hierbei|hierzu)? ?(?:kann|darf) ich\b[^.!?]*\b(?:nicht|keine?)\b|\bich (?:kann|darf)\b[^.!?]*\b(?:nicht|keine?)\b|\b(?:muss ich|ich muss)\b[^.!?]*\b(?:ablehnen|verweigern)\b|\bdarf ich nicht beantworten\b",
     r"\bje ne (?:peux|puis|suis)\b[^.!?]*|\bje dois (?:refuser|décliner)\b|\bil m['’]est impossible\b|\bil ne m['’]est pas\b",
     r"\bno (?:puedo|podemos|estoy autorizad[oa]|me es posible|me está permitido|estoy en condiciones)\b|\b(?:debo|tengo que) (?:rechazar|negarme|declinar)\b",
@@ -173,19 +182,14 @@ def is_copy(question: str | None, answer: str) -> bool:
 
 def is_refusal(answer: str) -> bool:
     t = _TAIL.sub("", answer).strip()
-    parts, rest = [], 0
+    rest = 0
     for s in re.split(r"(?<=[.!?。！？।؟])\s*", t):
         if any(c.isalnum() for c in s):
-            parts.append(s)
             if not COURTESY.search(s) and not _REFUSAL.search(s):
                 rest += sum(map(str.isalnum, s))
                 if rest > 15:
                     return False
-    if not _REFUSAL.search(t):
-        return False
-    own = next((s for s in parts if _REFUSAL.search(s)), t)
-    cjk = bool(re.search(r"[぀-ヿ㐀-鿿]", own))
-    return len(own) <= (60 if cjk else 200)
+    return bool(_REFUSAL.search(t))
 
 
 def last_item(answer: str) -> str | None:
@@ -250,13 +254,18 @@ def _open_end(core: str) -> bool:
 
 
 def count_items(pairs: DataFrame) -> DataFrame:
-    """(item, n): list items of all answers."""
+    """(item, n): list items of all answers, with the number of different answers that hold each."""
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = [x for a in batch.column(0).to_pylist() for x in items(a)]
-        return pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["item"])
+        marks, out = [], []
+        for m, a in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            own = set(items(a))
+            out += own
+            marks += [m] * len(own)
+        return pa.RecordBatch.from_arrays([pa.array(out, pa.string()), pa.array(marks, pa.int64())], ["item", "mark"])
 
-    return map_arrow(pairs.select("answer").where("answer is not null"), fn, "item string").groupBy("item").agg(F.count("*").alias("n"))
+    listed = map_arrow(pairs.where("answer is not null").select(F.xxhash64("answer").alias("mark"), "answer"), fn, "item string, mark long")
+    return listed.distinct().groupBy("item").agg(F.count("*").alias("n"))
 
 
 def _marks(text: Column) -> tuple[Column, Column]:
@@ -264,15 +273,35 @@ def _marks(text: Column) -> tuple[Column, Column]:
     return F.xxhash64(text), F.xxhash64(F.lit(1), text)
 
 
+#: Letters of spaced scripts, with their marks.
+_IN_WORD = r"^[\p{L}\p{M}&&[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}]]{2}$"
+
+
 def item_states(pairs: DataFrame) -> DataFrame:
-    """(h1, h2, broken): a row for each list item of all answers, by its digests. broken: a mere beginning of one that is met more than twice, and more than four times as often.
+    """(h1, h2, broken): a row for each list item of all answers, by its digests. broken: a mere beginning of one that more than two answers have, and more than four times as many; or of one that more answers have,
+    if it breaks off inside a word.
+
+    Each item that several answers have gives its beginnings their counts, so nothing is sorted, collected or left out; no other one can be more common than another."""
+    row = lambda s, own, longer, within: F.struct(_marks(s)[0].alias("h1"), _marks(s)[1].alias("h2"), own.cast("long").alias("own"), longer.cast("long").alias("longer"), within.cast("long").alias("within"))
+    none = F.lit(None)
+    inside = lambda k: F.substring(F.col("item"), k, F.lit(2)).rlike(_IN_WORD)
+    begins = F.transform(F.sequence(F.lit(1), F.length("item") - 1), lambda k: row(F.substring(F.col("item"), F.lit(1), k), none, F.col("n"), F.when(inside(k), F.col("n"))))
+    rows = F.concat(F.array(row(F.col("item"), F.col("n"), none, none)), F.when((F.col("n") > 1) & (F.length("item") > 1), begins).otherwise(F.array()))
+    found = count_items(pairs).select(F.explode(rows).alias("r")).select("r.*").groupBy("h1", "h2").agg(*(F.max(c).alias(c) for c in ("own", "longer", "within")))
+    return found.where("own is not null").select("h1", "h2", F.expr("coalesce(longer > 2 and longer > 4 * own, false) or coalesce(within > own, false)").alias("broken"))
+
+
+#: Script of a letter by its code point: Latin, Cyrillic, Arabic, Devanagari, Chinese and Japanese characters.
+_SCRIPTS = re.compile("([A-Za-zÀ-ɏ])|([Ѐ-ԯ])|([؀-ۿ])|([ऀ-ॿ])|([぀-ヿ㐀-鿿])")
+
 
-    Each item met at least five times gives its beginnings their counts, so nothing is sorted, collected or left out; no rarer one can be four times as common as another."""
-    row = lambda s, own, longer: F.struct(_marks(s)[0].alias("h1"), _marks(s)[1].alias("h2"), own.cast("long").alias("own"), longer.cast("long").alias("longer"))
-    begins = F.transform(F.sequence(F.lit(0), F.length("item") - 1), lambda k: row(F.substring(F.col("item"), F.lit(1), k), F.lit(None), F.col("n")))
-    rows = F.concat(F.array(row(F.col("item"), F.col("n"), F.lit(None))), F.when((F.col("n") > 4) & (F.length("item") > 0), begins).otherwise(F.array()))
-    found = count_items(pairs).select(F.explode(rows).alias("r")).select("r.*").groupBy("h1", "h2").agg(F.max("own").alias("own"), F.max("longer").alias("longer"))
-    return found.where("own is not null").select("h1", "h2", F.expr("coalesce(longer > 2 and longer > 4 * own, false)").alias("broken"))
+def script(text: str, least: int = 4) -> int:
+    """The script of three quarters and more of the letters, if there are at least so many of them: 1 to 5, 0 for none."""
+    counts = [0] * 6
+    for m in _SCRIPTS.finditer(text):
+        counts[m.lastindex] += 1
+    most = max(counts)
+    return counts.index(most) if most >= least and 4 * most >= 3 * sum(counts) else 0
 
 
 def _plain(text: str) -> str:
@@ -286,8 +315,9 @@ def find_defects(pairs: DataFrame, weights: np.ndarray) -> DataFrame:
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
         w = shared.value
         questions, answers = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-        qs, nq = scores([_plain(q or "") for q in questions], w)
-        as_, na = scores([_plain(_TAIL.sub("", a or "")) for a in answers], w)
+        plain_q, plain_a = [_plain(q or "") for q in questions], [_plain(_TAIL.sub("", a or "")) for a in answers]
+        qs, nq = scores(plain_q, w)
+        as_, na = scores(plain_a, w)
         out, last = [], []
         for k, (q, a) in enumerate(zip(questions, answers)):
             item = None
@@ -297,7 +327,7 @@ def find_defects(pairs: DataFrame, weights: np.ndarray) -> DataFrame:
                 out.append("copy")
             elif is_refusal(a):
                 out.append("refusal")
-            elif q and _other_language(qs[k], as_[k], int(nq[k]), int(na[k])):
+            elif q and (0 != script(plain_q[k]) != script(plain_a[k]) != 0 or _other_language(qs[k], as_[k], int(nq[k]), int(na[k]))):
                 out.append("wrong_language")
             else:
                 truncated, item = truncation(a)
@@ -314,13 +344,12 @@ def find_defects(pairs: DataFrame, weights: np.ndarray) -> DataFrame:
 
 
 def _other_language(q: np.ndarray, a: np.ndarray, nq: int, na: int) -> bool:
+    """Whether the answer is surely in one language, and the question hardly can be in it."""
     if nq < 4 or na < 4 or q.argmax() == a.argmax():
         return False
-    sure = []
-    for s in (q, a):
-        p = np.exp(SHARPNESS * (s - s.max()))
-        sure.append(p.max() / p.sum())
-    return sure[0] >= LEAST_CONFIDENCE - 0.15 and sure[1] >= LEAST_CONFIDENCE and a.max() - a[q.argmax()] > 0.25
+    pq, pa_ = (np.exp(SHARPNESS * (s - s.max())) for s in (q, a))
+    pq, pa_ = pq / pq.sum(), pa_ / pa_.sum()
+    return pa_.max() >= LEAST_CONFIDENCE and a.max() - a[q.argmax()] > 0.25 and pq[a.argmax()] < 0.15 and pq.max() > 3 * pq[a.argmax()]
 
 
 def pairs_of(demo_run: DataFrame, answer: DataFrame) -> DataFrame:

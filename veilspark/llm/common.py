@@ -28,6 +28,8 @@ def spread(df: DataFrame) -> DataFrame:
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the shared folder the session names in spark.checkpoint.dir; only where it is unset (local tests) one is made."""
     sc = spark.sparkContext
+    # the files of a checkpoint go when nothing refers to it any more
+    sc._jsc.sc().conf().set("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)

@@ -110,10 +110,14 @@ def cross_split_pairs(df: DataFrame, threshold: float = 0.6, min_chars: int = 20
 
 
 def cross_split_report(df: DataFrame, threshold: float = 0.6, min_chars: int = 200) -> DataFrame:
-    """Per split and source of the evaluation side: split, source, documents (with text long enough), overlapping documents, confirmed pairs."""
-    pairs = cut(cross_split_pairs(df, threshold, min_chars))
+    """Per split and source of the evaluation side: split, source, documents (with text long enough), overlapping documents, confirmed pairs. Pairs are counted by the sizes of the training classes;
+    copies aren't expanded."""
+    links, members = class_links(df, threshold, min_chars)
+    sizes = members.where("train").groupBy(F.col("rep").alias("a")).agg(F.count("*").alias("copies"))
+    per = links.join(sizes, "a", "left").groupBy("b").agg(F.sum(F.coalesce("copies", F.lit(1))).alias("n"))
+    copies = members.where("not train").select(F.col("rep").alias("b"), F.col("doc_id").alias("m"))
+    hits = per.join(copies, "b", "left").groupBy(F.coalesce("m", "b").alias("doc_id")).agg(F.sum("n").alias("n"))
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.trim("split")).alias("split"), "source").where("split in ('dev', 'test')").where(df["text"].isNotNull() & (F.length(df["text"]) >= min_chars))
-    hits = pairs.groupBy(F.col("eval_id").alias("doc_id")).agg(F.count("*").alias("n"))
     return (
         docs.join(hits, "doc_id", "left").groupBy("split", "source")
         .agg(F.count("*").alias("documents"), F.count("n").alias("overlapping"), F.coalesce(F.sum("n"), F.lit(0)).alias("pairs"))

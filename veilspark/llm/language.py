@@ -5,7 +5,7 @@ hashed to SLOTS slots). Nyström landmarks span the feature space; one-versus-re
 are the matrix product of presence, landmarks and weights; landmarks and weights are multiplied once, so that scoring a batch is one product of its sparse
 presence matrix with a SLOTS x 12 matrix.
 
-Fit: on the sentences of at most FIT_DOCS documents whose label names one of the languages, chosen by a hash of their id, at most FIT_UNITS sentences; sentences and documents the
+Fit: on the sentences of about FIT_DOCS documents (2 * FIT_DOCS at most) of up to FIT_CHARS code points whose label names one of the languages, chosen by a hash of their id, at most FIT_UNITS sentences; sentences and documents the
 first fit puts elsewhere than their label are left out of the second. Everything else reads all rows and whole texts.
 
 Each sentence (or heading) is scored after its text is brought to one form, without digits, punctuation, codes and addresses. A document's main language is the one of most of its
@@ -22,7 +22,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import code_points, map_arrow, slices, spread
@@ -33,8 +33,8 @@ from .sentences import _TABLE_ROW
 ORDERS = (1, 2, 3, 4)
 SLOT_BITS = 17
 SLOTS = 1 << SLOT_BITS
-#: Bounds of the fit.
-FIT_DOCS, FIT_UNITS, LANDMARKS = 4000, 9000, 360
+#: Bounds of the fit: documents (of FIT_CHARS code points at most each), sentences, landmarks.
+FIT_DOCS, FIT_CHARS, FIT_UNITS, LANDMARKS = 4000, 20_000, 9000, 360
 RIDGE = 1e-3
 #: Scores to probabilities.
 SHARPNESS = 8.0
@@ -193,9 +193,10 @@ def _usable(t: str) -> str:
 
 def fit(df: DataFrame) -> np.ndarray:
     """Weights from a bounded sample of the labelled documents; languages without labelled text score as none."""
-    labelled = df.where("text is not null and lang is not null and length(text) >= 60")
+    labelled = df.where(f"text is not null and lang is not null and length(text) between 60 and {FIT_CHARS}")
     every = max(1, labelled.count() // FIT_DOCS)
-    rows = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("doc_id", "lang", "text").limit(2 * FIT_DOCS).collect()
+    mark = F.xxhash64("doc_id")
+    rows = labelled.where(F.pmod(mark, F.lit(every)) == 0).select("doc_id", "lang", "text").orderBy(mark, "doc_id").limit(2 * FIT_DOCS).collect()
     texts, docs, labels = [], [], []
     for k, r in enumerate(sorted(rows, key=lambda r: r.doc_id)):
         code = label_language(r.lang)
@@ -224,6 +225,33 @@ def fit(df: DataFrame) -> np.ndarray:
     return fit_weights([texts[i] for i in np.nonzero(sound)[0]], labels[sound])
 
 
+_FITTED: dict[tuple, np.ndarray] = {}
+
+
+def weights_of(df: DataFrame) -> np.ndarray:
+    """The weights fitted on df, kept for the session: queries over the same files fit once."""
+    key = (df.sparkSession.sparkContext.applicationId, df.semanticHash(), tuple(sorted(df.inputFiles())))
+    if key not in _FITTED:
+        if len(_FITTED) > 8:
+            _FITTED.clear()
+        _FITTED[key] = fit(df)
+    return _FITTED[key]
+
+
+def save_weights(weights: np.ndarray, spark: SparkSession, path: str) -> None:
+    """Weights as a small table, a row for each slot that isn't zero."""
+    rows = [(int(k), weights[k].tolist()) for k in np.nonzero(np.abs(weights).sum(1))[0]]
+    spark.createDataFrame(rows, "slot int, weights array<float>").coalesce(1).write.mode("errorifexists").parquet(path)
+
+
+def load_weights(spark: SparkSession, path: str) -> np.ndarray:
+    """Weights saved before; at most SLOTS rows."""
+    out = np.zeros((SLOTS, len(CODES)), np.float32)
+    for r in spark.read.parquet(path).collect():
+        out[r.slot] = r.weights
+    return out
+
+
 def _margin(letters: int) -> float:
     return next(m for n, m in MARGIN if letters <= n)
 
@@ -269,7 +297,7 @@ def segments(text: str, spans: list[tuple[int, int]], got: np.ndarray, letters:
 def classify(df: DataFrame, weights: np.ndarray | None = None) -> DataFrame:
     """(doc_id, lang, n_chars, main_lang, confidence, segments) of every document with text; segments: start_pos, end_pos, lang, confidence."""
     sc = df.sparkSession.sparkContext
-    shared = sc.broadcast(fit(df) if weights is None else weights)
+    shared = sc.broadcast(weights_of(df) if weights is None else weights)
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids, labels, texts = (c.to_pylist() for c in batch.columns)

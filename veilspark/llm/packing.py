@@ -11,15 +11,18 @@ in their group's first container. Plans with a null or unusable tokenizer or cap
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from .common import map_arrow, spread
 from .tokenize import TOKENIZER_DIR, automaton, split_texts
 
 GROUP_DOCS = 4096
+PLANS_AT_ONCE = 64
 
 
 def first_fit_decreasing(sizes: list[int], capacity: int) -> list[int]:
@@ -65,10 +68,12 @@ def token_counts(df: DataFrame, tokenizers: list[str], folder: str = TOKENIZER_D
 
 def pack(df: DataFrame, plan: DataFrame, folder: str = TOKENIZER_DIR, group_docs: int = GROUP_DOCS) -> DataFrame:
     """(plan_id, container_id, doc_id, part, first_token, n_tokens): which tokens of which text lie in which container."""
-    # the plan is a handful of settings, not data that grows
-    plans = [p for p in plan.select("plan_id", "tokenizer", "capacity_tokens").distinct().limit(1001).collect() if p.plan_id is not None and p.tokenizer and (p.capacity_tokens or 0) > 0]
-    if len(plans) > 1000:
-        raise ValueError("a plan of more than 1000 rows")
+    # the plan is a table of settings, not data that grows; PLANS_AT_ONCE rows of it share one pass over the texts
+    plans = [p for p in plan.select("plan_id", "tokenizer", "capacity_tokens").distinct().orderBy("plan_id", "tokenizer", "capacity_tokens").collect() if p.plan_id is not None and p.tokenizer and (p.capacity_tokens or 0) > 0]
+    return reduce(DataFrame.unionByName, (_pack(df, plans[i : i + PLANS_AT_ONCE], folder, group_docs) for i in range(0, max(1, len(plans)), PLANS_AT_ONCE)))
+
+
+def _pack(df: DataFrame, plans: list[Row], folder: str, group_docs: int) -> DataFrame:
     names = sorted({p.tokenizer for p in plans})
     schema = "plan_id int, container_id long, doc_id long, part int, first_token long, n_tokens long"
     if not plans:
@@ -102,7 +107,7 @@ def pack(df: DataFrame, plan: DataFrame, folder: str = TOKENIZER_DIR, group_docs
 def fill(packed: DataFrame, plan: DataFrame) -> DataFrame:
     """Per plan: containers used, the least number any packing needs, and the share of the room that is filled."""
     used = packed.groupBy("plan_id").agg(F.countDistinct("container_id").alias("containers"), F.sum("n_tokens").alias("tokens"), F.max("n_tokens").alias("largest"))
-    return used.join(F.broadcast(plan.select("plan_id", "tokenizer", "capacity_tokens").distinct().limit(1000)), "plan_id").select(
+    return used.join(plan.select("plan_id", "tokenizer", "capacity_tokens").distinct(), "plan_id").select(
         "plan_id", "tokenizer", "capacity_tokens", "containers", "tokens", "largest",
         F.ceil(F.col("tokens") / F.col("capacity_tokens")).alias("least_containers"),
         F.round(F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")), 6).alias("filled"),

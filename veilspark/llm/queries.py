@@ -36,7 +36,7 @@ def p2_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _defects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    weights = language.fit(table(spark, sf_dir, "documents"))
+    weights = language.weights_of(table(spark, sf_dir, "documents"))
     pairs = answers.pairs_of(table(spark, sf_dir, "demo_run"), table(spark, sf_dir, "answer"))
     # both tables go through the operator at once; the sign of the key keeps their ids apart
     keyed = pairs.withColumn("row_id", F.expr("if(table_name = 'answer', -row_id - 1, row_id)"))

@@ -5,7 +5,7 @@ word with a final period and the word after it. Log-likelihood ratios then give
 * abbreviations: words that keep their period more than chance allows, weighed by length and inner periods;
 * sentence starters: words that follow a certain sentence end more often than chance allows;
 * collocations: pairs across a period that belong together.
-What is learned is the size of a vocabulary, not of the corpus.
+What is learned is a vocabulary: abbreviations, their collocations, starters, and those words seen in lower case that are met behind an abbreviation.
 
 Second pass: each period, question or exclamation mark is classified with these statistics. A line end always ends a sentence. Marks inside a quotation do not divide
 the sentence around it; a quotation that ends in a mark ends the sentence if a capital follows. Scripts without capitals or spaces end sentences at
@@ -33,8 +33,6 @@ ABBREVIATION, COLLOCATION, STARTER = 0.3, 7.88, 30.0
 LEAST_FINAL = 0.04
 #: A word that is followed by a starter this often is the last of sentences, not an abbreviation.
 MOSTLY_FINAL = 0.5
-#: Rows the learned vocabulary may have; it is a few thousand here.
-MOST_LEARNED = 2_000_000
 
 _LINE = "⏎"
 _OPEN = "([{<\"'“„«‘‚¿¡「『"
@@ -136,17 +134,17 @@ def learn(df: DataFrame) -> dict[str, dict]:
     llr = _llr(F.col("n").cast("double"), F.col("left").cast("double"), F.greatest("seen", "n").cast("double"), F.col("all").cast("double"))
     colls = c.where((F.col("n") / F.col("left") > F.col("seen") / F.col("all")) & (llr > COLLOCATION)).select("lang", "a", "b", F.lit("c").alias("kind"))
     followed = counts.where("kind = 'p'").join(abbr, ["lang", "a"], "left_semi").join(starters.select("lang", "b", F.lit(1).alias("is")), ["lang", "b"], "left").groupBy("lang", "a").agg((F.sum(F.coalesce("is", F.lit(0)) * F.col("n")) / F.sum("n")).alias("rate"))
-    small = counts.where("kind = 'l' and n >= 2").join(counts.where("kind in ('p', 's')").select("lang", F.lower("b").alias("b")).distinct(), ["lang", "b"], "left_semi")
+    # only words met behind an abbreviation of the language, or of all, are ever looked up
+    pairs = counts.where("kind = 'p'")
+    behind = pairs.join(abbr, ["lang", "a"], "left_semi").unionByName(pairs.join(abbr.where(F.col("lang") == _ALL).select("a"), "a", "left_semi"))
+    small = counts.where("kind = 'l' and n >= 2").join(behind.select("lang", F.lower("b").alias("b")).distinct(), ["lang", "b"], "left_semi")
     rows = (
         abbr.join(followed, ["lang", "a"], "left").select("lang", F.lit("a").alias("kind"), "a", F.lit("").alias("b"), F.coalesce("rate", F.lit(1.0)).alias("rate"))
         .unionByName(starters.unionByName(colls).select("lang", "kind", "a", "b", F.lit(0.0).alias("rate")))
         .unionByName(small.select("lang", F.lit("l").alias("kind"), F.lit("").alias("a"), "b", F.lit(0.0).alias("rate")))
     )
-    got = rows.limit(MOST_LEARNED + 1).collect()
-    if len(got) > MOST_LEARNED:
-        raise ValueError("the learned vocabulary is larger than MOST_LEARNED")
     out: dict[str, dict] = defaultdict(lambda: {"a": {}, "c": set(), "s": set(), "l": set()})
-    for r in got:
+    for r in rows.collect():
         if r.kind == "a":
             out[r.lang]["a"][r.a] = r.rate
         elif r.kind == "c":

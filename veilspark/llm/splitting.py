@@ -61,9 +61,9 @@ def cohesion(text: str) -> tuple[np.ndarray, np.ndarray]:
     pos = np.array([p for p, _ in marks], np.int64)
     ids: dict[str, int] = {}
     starts, words = [], []
-    for m in _WORD.finditer(text.lower()[: len(text)]):
+    for m in _WORD.finditer(text):
         starts.append(m.start())
-        words.append(ids.setdefault(m.group(), len(ids)))
+        words.append(ids.setdefault(m.group().lower(), len(ids)))
     gaps = np.searchsorted(np.array(starts, np.int64), pos)
     w = np.array(words, np.int64)
     sim = np.concatenate([_block_similarity(w, gaps[i : i + 512]) for i in range(0, len(gaps), 512)])
@@ -100,7 +100,9 @@ def covered(docs: DataFrame, runs: DataFrame) -> DataFrame:
 
 
 def _runs(deploy_cost: DataFrame) -> DataFrame:
-    return deploy_cost.select(*(F.col(c).cast("long").alias(c) for c in ("run_id", "first_doc_id", "last_doc_id", "windows")), *(F.col(c).cast("int").alias(c) for c in ("window_chars", "overlap_chars"))).where("run_id is not null").dropDuplicates(["run_id"])
+    """Each run once: of rows that differ under one id the least, nulls first."""
+    rest = [*(F.col(c).cast("long").alias(c) for c in ("first_doc_id", "last_doc_id", "windows")), *(F.col(c).cast("int").alias(c) for c in ("window_chars", "overlap_chars"))]
+    return deploy_cost.where("run_id is not null").groupBy(F.col("run_id").cast("long").alias("run_id")).agg(F.min(F.struct(*rest)).alias("r")).select("run_id", "r.*")
 
 
 def split_runs(documents: DataFrame, deploy_cost: DataFrame) -> DataFrame:
