@@ -2,61 +2,59 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Mapping
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Sentinels of find_all; rows that hold them are left to the caller (see has_sentinel).
-OPEN, CLOSE = "\ue000", "\ue001"
-
 #: Formats of the checksum and pattern detectors, in the order that breaks ties.
 PATTERNS = {
     "credit_card_number": r"(?<![\d\-])(?:\d[ \-]?){12,18}\d(?![\d\-])",
     "iban": r"\b[A-Z]{2}\d{2}[ ]?(?:[A-Z0-9]{4}[ ]?){2,7}[A-Z0-9]{1,4}\b",
-    "email": r"(?U)\b[\w.+-]+@[\w-]+(?:\.[\w-]+)+\b",
+    "email": r"\b[\w.+-]+@[\w-]+(?:\.[\w-]+)+\b",
     "ipv4": r"\b(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)\b",
     "ipv6": r"\b(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}\b",
     "ssn": r"\b(?!000|666|9\d\d)\d{3}-(?!00)\d{2}-(?!0000)\d{4}\b",
 }
+#: Fixed value: what counts as an address on the web.
+URL = r"https?://[A-Za-z0-9._~:/?#@!$&'()*+,;=%-]+"
 
 
 def _column(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def has_sentinel(text: Column | str) -> Column:
-    return _column(text).rlike(f"[{OPEN}{CLOSE}]")
+_HITS = "array<struct<start_pos:int,end_pos:int,label:string,surface:string>>"
 
 
-def find_all(text: Column | str, pattern: str) -> Column:
-    """array<struct<start_pos, end_pos, surface>> of all matches, leftmost and non-overlapping, offsets in code points.
-
-    Matches are wrapped in sentinels and the text split at them; odd parts are matches, and the running length of the parts gives the offsets. Meant for items of which a text
-    has hundreds at most (the list of hits is copied as it grows); for every word of a text use masked() or a scorer."""
-    t = _column(text)
-    flags = ""
-    if pattern.startswith("(?U)"):
-        flags, pattern = "(?U)", pattern[4:]
-    parts = F.split(F.regexp_replace(t, f"{flags}({pattern})", f"{OPEN}$1{CLOSE}"), f"[{OPEN}{CLOSE}]", -1)
-    init = F.struct(F.lit(0).alias("pos"), F.lit(0).alias("k"), F.array().cast("array<struct<start_pos:int,end_pos:int,surface:string>>").alias("hits"))
+def find_labelled(text: Column | str, patterns: Mapping[str, str]) -> Column:
+    """array<struct<start_pos, end_pos, label, surface>> of all matches of each pattern, in the order of patterns, those of one pattern from the left and none inside another; offsets in code points, \\w, \\d
+    and \\b by Unicode. Regular expressions with positions are nothing the JVM offers as a column, so all patterns share one pass over Arrow batches. Any character may occur in the text; null has no matches."""
+    compiled = [(k, re.compile(p)) for k, p in patterns.items()]
 
-    def step(acc: Column, p: Column) -> Column:
-        hit = F.struct(acc["pos"].alias("start_pos"), (acc["pos"] + F.length(p)).alias("end_pos"), p.alias("surface"))
-        return F.struct((acc["pos"] + F.length(p)).alias("pos"), (acc["k"] + 1).alias("k"), F.when(acc["k"] % 2 == 1, F.concat(acc["hits"], F.array(hit))).otherwise(acc["hits"]).alias("hits"))
+    @F.arrow_udf(_HITS)
+    def find(texts: pa.Array) -> pa.Array:
+        starts, ends, labels, surfaces, counts = [], [], [], [], [0]
+        for t in texts.to_pylist():
+            if t:
+                for label, p in compiled:
+                    for m in p.finditer(t):
+                        starts.append(m.start())
+                        ends.append(m.end())
+                        labels.append(label)
+                        surfaces.append(m.group())
+            counts.append(len(starts))
+        fields = [pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(labels, pa.string()), pa.array(surfaces, pa.string())]
+        return pa.ListArray.from_arrays(pa.array(counts, pa.int32()), pa.StructArray.from_arrays(fields, ["start_pos", "end_pos", "label", "surface"]))
 
-    return F.when(t.isNull(), F.array().cast("array<struct<start_pos:int,end_pos:int,surface:string>>")).otherwise(F.aggregate(parts, init, step, lambda a: a["hits"]))
+    return find(_column(text))
 
 
-#: What hides in masked(): a digit, and any other character but white space.
-HIDDEN_DIGIT, HIDDEN = "\ue001", "\ue000"
-
-
-def masked(text: Column | str, intervals: Column) -> Column:
-    """text with the characters of disjoint, sorted intervals hidden; white space stays, so words keep their borders and offsets. Linear in the text."""
-    t = _column(text)
-    hide = lambda s: F.regexp_replace(F.regexp_replace(s, r"[0-9]", HIDDEN_DIGIT), rf"[^\s{HIDDEN_DIGIT}]", HIDDEN)
-    before = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.coalesce(F.try_element_at(intervals, i)["end_pos"], F.lit(0)))
-    parts = F.transform(intervals, lambda m, i: F.concat(F.substring(t, before(i) + 1, m["start_pos"] - before(i)), hide(F.substring(t, m["start_pos"] + 1, m["end_pos"] - m["start_pos"]))))
-    return F.concat(F.array_join(parts, ""), F.substring(t, F.coalesce(F.try_element_at(intervals, F.lit(-1))["end_pos"], F.lit(0)) + 1, F.length(t)))
+def find_all(text: Column | str, pattern: str) -> Column:
+    """array<struct<start_pos, end_pos, label, surface>> of all matches of one pattern; the label is empty."""
+    return find_labelled(text, {"": pattern})
 
 
 def luhn_ok(surface: Column | str) -> Column:

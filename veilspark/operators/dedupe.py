@@ -22,12 +22,12 @@ def line_hashes(text: Column | str, least: int = 8) -> Column:
     return F.array_distinct(F.transform(F.filter(lines, lambda x: F.length(x) >= least), lambda x: F.substring(F.sha1(x), 1, 16)))
 
 
-def line_similarity(docs: DataFrame, threshold: float = 0.5, least: int = 8) -> DataFrame:
-    """(a, b, shared, jaccard), a < b, of documents whose sets of line hashes reach the threshold. Sets that are equal are one class and joined once, so that copies of a
-    document cost nothing; lines are looked up by prefix (a pair at the threshold shares one of the rarest lines of each)."""
-    d = docs.where("text is not null").select("doc_id", line_hashes("text", least).alias("h")).where("size(h) > 0").dropDuplicates(["doc_id"]).withColumn("key", F.sha1(F.concat_ws("", F.sort_array("h"))))
-    rep = d.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("h").alias("h"))
-    member = d.select("key", "doc_id").join(rep.select("key", "rep"), "key").select("doc_id", "rep")
+def line_classes(docs: DataFrame, threshold: float = 0.5, least: int = 8) -> tuple[DataFrame, DataFrame]:
+    """(links, members): links (a, b, shared, jaccard), a < b, between classes whose sets of line hashes reach the threshold, each class named by its least document; members (doc_id, rep, n), a row per document with
+    lines, n their number. Documents with equal sets are one class and are looked up once, so copies cost nothing; lines are looked up by prefix (a pair at the threshold shares one of the rarest lines of each)."""
+    d = docs.where("text is not null").select("doc_id", line_hashes("text", least).alias("h")).where("size(h) > 0").groupBy("doc_id").agg(F.min("h").alias("h")).withColumn("key", F.sha1(F.concat_ws("", F.sort_array("h"))))
+    rep = d.groupBy("key").agg(F.min("doc_id").alias("rep"), F.min(F.sort_array("h")).alias("h"))
+    member = d.select("key", "doc_id").join(rep.select("key", "rep", F.size("h").alias("n")), "key").select("doc_id", "rep", "n")
     token = rep.select("rep", F.size("h").alias("n"), F.explode("h").alias("line"))
     df = token.groupBy("line").agg(F.count("*").alias("df")).where("df > 1")
     met = token.join(df, "line").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "line"))).alias("t"))
@@ -43,11 +43,17 @@ def line_similarity(docs: DataFrame, threshold: float = 0.5, least: int = 8) ->
         .select("a", "b", shared.alias("shared"), (F.size("ha") + F.size("hb") - shared).alias("union"))
         .where(F.col("shared") >= F.col("union") * threshold)
     )
-    same = member.alias("x").join(member.alias("y"), (F.col("x.rep") == F.col("y.rep")) & (F.col("x.doc_id") < F.col("y.doc_id"))).join(rep.select(F.col("rep").alias("r"), F.size("h").alias("n")), F.col("x.rep") == F.col("r"))
-    same = same.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"), F.col("n").alias("shared"), F.lit(1.0).alias("jaccard"))
-    ma, mb = member.select(F.col("rep").alias("a"), F.col("doc_id").alias("x")), member.select(F.col("rep").alias("b"), F.col("doc_id").alias("y"))
-    across = links.join(ma, "a").join(mb, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "shared", (F.col("shared") / F.col("union")).alias("jaccard"))
-    return same.unionByName(across)
+    return links.select("a", "b", "shared", (F.col("shared") / F.col("union")).alias("jaccard")), member
+
+
+def line_similarity(docs: DataFrame, threshold: float = 0.5, least: int = 8) -> DataFrame:
+    """(a, b, shared, jaccard, copies_a, copies_b): a row for each pair of classes that reach the threshold, with the documents in either, and one (a = b, jaccard 1) for each class of several documents. No pair of
+    copies is formed; line_classes tells who belongs to a class."""
+    links, member = line_classes(docs, threshold, least)
+    sizes = member.groupBy("rep").agg(F.count("*").alias("copies"), F.first("n").alias("n"))
+    same = sizes.where("copies > 1").select(F.col("rep").alias("a"), F.col("rep").alias("b"), F.col("n").alias("shared"), F.lit(1.0).alias("jaccard"), F.col("copies").alias("copies_a"), F.col("copies").alias("copies_b"))
+    side = lambda x: sizes.select(F.col("rep").alias(x), F.col("copies").alias(f"copies_{x}"))
+    return same.unionByName(links.join(side("a"), "a").join(side("b"), "b").select("a", "b", "shared", "jaccard", "copies_a", "copies_b"))
 
 
 def line_counts(docs: DataFrame, by: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import IDENTIFYING
@@ -56,10 +56,10 @@ def per_type(docs: DataFrame, types: Sequence[str] = IDENTIFYING) -> DataFrame:
 
 
 def risk_coverage(df: DataFrame, risk: str, leaked: str, budgets: Sequence[float]) -> DataFrame:
-    """Per budget: forwarded (risk <= budget), held, leaks among each, rates (null for none), whether the rate among the forwarded keeps the budget."""
-    grid = F.broadcast(df.sparkSession.createDataFrame([(float(b),) for b in budgets], "budget double"))
-    f = F.col(risk) <= F.col("budget")
-    r = df.select(risk, leaked).join(grid).groupBy("budget").agg(F.count("*").alias("documents"), F.count_if(f).alias("forwarded"), F.count_if(f & F.col(leaked)).alias("leaks"), F.count_if(~f & F.col(leaked)).alias("leaks_held"))
+    """All budgets in one pass. Per budget: forwarded (risk <= budget), held, leaks among each, rates (null for none), whether the rate among the forwarded keeps the budget."""
+    r = df.agg(F.count("*").alias("documents"), *(c.alias(f"{a}{i}") for i, b in enumerate(budgets) for f in (F.col(risk) <= float(b),) for a, c in (("f", F.count_if(f)), ("l", F.count_if(f & F.col(leaked))), ("h", F.count_if(~f & F.col(leaked))))))
+    parts = F.array(*(F.struct(F.lit(float(b)).alias("budget"), "documents", F.col(f"f{i}").alias("forwarded"), F.col(f"l{i}").alias("leaks"), F.col(f"h{i}").alias("leaks_held")) for i, b in enumerate(budgets)))
+    r = r.select(F.explode(parts).alias("x")).select("x.*")
     r = r.withColumn("held", F.col("documents") - F.col("forwarded")).withColumn("coverage", F.bround(F.col("forwarded") / F.col("documents"), 4))
     return r.withColumn("leak_rate", F.bround(F.try_divide("leaks", "forwarded"), 4)).withColumn("leak_rate_held", F.bround(F.try_divide("leaks_held", "held"), 4)).withColumn("budget_respected", F.try_divide("leaks", "forwarded") <= F.col("budget"))
 
@@ -100,3 +100,32 @@ def instrument_check(recomputed: DataFrame, published: DataFrame, key: str) -> N
     bad = r.join(p, F.col(f"r.{key}") == F.col(f"p.{key}"), "full_outer").where(differ).limit(5).collect()
     if bad:
         raise ValueError(f"the recomputed report differs from the published one: {bad}")
+
+
+def best_statistic(rows: DataFrame, statistics: Sequence[str], leaked: str) -> DataFrame:
+    """(statistic, auc, place) of each statistic and of its negation, by falling AUC, ties by name. Statistics are stacked, so one ranking serves them all."""
+    stack = F.expr(f"stack({len(statistics)}, {', '.join(f'{c!r}, double({c})' for c in statistics)}) as (statistic, score)")
+    a = auc(rows.select(leaked, stack), "score", leaked, ["statistic"]).where("auc is not null")
+    both = a.select("statistic", "auc").unionByName(a.select(F.concat("statistic", F.lit(" (negated)")).alias("statistic"), (1 - F.col("auc")).alias("auc")))
+    # two rows a statistic
+    return both.withColumn("auc", F.round("auc", 9)).withColumn("place", F.row_number().over(Window.orderBy(F.desc("auc"), "statistic")))
+
+
+def drift(a: DataFrame, b: DataFrame, key: str, value: str, tolerance: float = 0.0) -> DataFrame:
+    """(key, a, b, delta, same) over the union of the keys of two flattened reports: null against null is the same, null against a value isn't."""
+    x, y = a.select(key, F.col(value).cast("double").alias("a")), b.select(key, F.col(value).cast("double").alias("b"))
+    same = F.col("a").eqNullSafe(F.col("b")) | F.coalesce(F.abs(F.col("b") - F.col("a")) <= tolerance, F.lit(False))
+    return x.join(y, key, "full_outer").select(key, "a", "b", (F.col("b") - F.col("a")).alias("delta"), same.alias("same"))
+
+
+def flattened(report: DataFrame, *keys: str) -> DataFrame:
+    """(measure, value) of a small wide report: a row for each numeric column, named by the keys' values and the column."""
+    cols = [c for c, t in report.dtypes if c not in keys and t in ("int", "bigint", "double", "float")]
+    parts = F.array(*(F.struct(F.concat_ws(".", *(F.coalesce(F.col(k).cast("string"), F.lit("none")) for k in keys), F.lit(c)).alias("measure"), F.col(c).cast("double").alias("value")) for c in cols))
+    return report.select(F.explode(parts).alias("x")).select("x.*")
+
+
+def tail(df: DataFrame, key: str, parts: int = 10) -> DataFrame:
+    """The last max(1, rows // parts) rows by key; none of an empty table."""
+    pos = ordered_position(df.withColumn("_key", F.col(key).cast("double")), "_key", [key])
+    return pos.where(F.col("position") > F.col("total") - F.greatest(F.lit(1), F.floor(F.col("total") / parts))).drop("_key", "position", "total")

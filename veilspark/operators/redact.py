@@ -4,22 +4,54 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import placeholder, placeholders_in, surface_key, surface_of
+from ..functions.text import placeholders_in
 from ..schema import IDENTIFYING
 from .spans import resolve_redaction
 
+_STRETCH = [("start_pos", pa.int32()), ("end_pos", pa.int32()), ("label", pa.string()), ("surface", pa.string()), ("ph", pa.string())]
+_REDACTED = "struct<redacted:string,vault_size:int,stretches:array<struct<start_pos:int,end_pos:int,label:string,surface:string,ph:string>>>"
+
+
+def _replaced(text: str, stretches: list[dict]) -> tuple[str, int, list[dict]]:
+    numbers: dict[tuple[str, str], int] = {}
+    used: dict[str, int] = {}
+    parts, out, last = [], [], 0
+    for s in stretches:
+        a, b, label = s["start_pos"], min(s["end_pos"], len(text)), s["label"]
+        if not 0 <= a < len(text):
+            continue
+        surface = text[a:b]
+        key = label, surface.strip(" ").lower()
+        if key not in numbers:
+            numbers[key] = used[label] = used.get(label, 0) + 1
+        ph = f"[{label.upper()}_{numbers[key]}]"
+        parts += (text[last:a], ph)
+        out.append({"start_pos": a, "end_pos": b, "label": label, "surface": surface, "ph": ph})
+        last = b
+    return "".join((*parts, text[last:])), len(numbers), out
+
+
+def with_placeholders(docs: DataFrame, types: Sequence[str] = IDENTIFYING) -> DataFrame:
+    """docs: doc_id, text, spans. (doc_id, text, r: redacted, vault_size, stretches) of every document with text. Equal surfaces (trimmed, lower case) of a type share the number of their first appearance in the
+    document. All of it stays inside the document, so nothing is shuffled: one pass over Arrow batches."""
+
+    @F.arrow_udf(_REDACTED)
+    def replace(texts: pa.Array, stretches: pa.Array) -> pa.Array:
+        rows = [_replaced(*x) for x in zip(texts.to_pylist(), stretches.to_pylist())]
+        fields = [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.list_(pa.struct(_STRETCH)))]
+        return pa.StructArray.from_arrays(fields, ["redacted", "vault_size", "stretches"])
+
+    d = docs.where("text is not null").select("doc_id", "text", resolve_redaction("spans", types).alias("st"))
+    return d.select("doc_id", "text", replace("text", "st").alias("r"))
+
 
 def numbered(docs: DataFrame, types: Sequence[str] = IDENTIFYING) -> DataFrame:
-    """docs: doc_id, text, spans. One row per stretch to be replaced: doc_id, start_pos, end_pos, label, surface, ph. Equal surfaces (trimmed, lower case) of a type share the
-    number of their first appearance in the document."""
-    s = docs.where("text is not null").select("doc_id", "text", F.explode(resolve_redaction("spans", types)).alias("s")).where("s.start_pos >= 0 and s.start_pos < length(text)")
-    s = s.select("doc_id", "s.start_pos", F.least("s.end_pos", F.length("text")).alias("end_pos"), "s.label", surface_of("text", "s.start_pos", "s.end_pos").alias("surface")).withColumn("key", surface_key("surface"))
-    s = s.withColumn("first", F.min("start_pos").over(Window.partitionBy("doc_id", "label", "key")))
-    s = s.withColumn("number", F.dense_rank().over(Window.partitionBy("doc_id", "label").orderBy("first", "key")))
-    return s.withColumn("ph", placeholder("label", "number")).drop("first", "key", "number")
+    """One row per stretch to be replaced: doc_id, start_pos, end_pos, label, surface, ph."""
+    return with_placeholders(docs, types).select("doc_id", F.explode("r.stretches").alias("s")).select("doc_id", "s.*")
 
 
 def vault(stretches: DataFrame) -> DataFrame:
@@ -29,15 +61,7 @@ def vault(stretches: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, types: Sequence[str] = IDENTIFYING) -> DataFrame:
     """(doc_id, n_spans, vault_size, redacted) of every document with text."""
-    st = numbered(docs, types)
-    per = st.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start_pos", "end_pos", "ph"))).alias("st"), F.countDistinct("ph").alias("vault_size"))
-    rows = docs.where("text is not null").select("doc_id", "text").join(per, "doc_id", "left")
-    pieces = F.transform("st", lambda x, i: F.concat(F.expr("substring(text, 1, 0)"), F.substring(F.col("text"), F.when(i == 0, 1).otherwise(F.coalesce(F.try_element_at("st", i)["end_pos"], F.lit(0)) + 1), x["start_pos"] - F.when(i == 0, 0).otherwise(F.coalesce(F.try_element_at("st", i)["end_pos"], F.lit(0)))), x["ph"]))
-    tail = F.substring(F.col("text"), F.try_element_at("st", F.lit(-1))["end_pos"] + 1, F.length("text"))
-    return rows.select(
-        "doc_id", F.coalesce(F.size("st"), F.lit(0)).alias("n_spans"), F.coalesce("vault_size", F.lit(0)).alias("vault_size"),
-        F.when(F.col("st").isNull(), F.col("text")).otherwise(F.concat(F.array_join(pieces, ""), tail)).alias("redacted"),
-    )
+    return with_placeholders(docs, types).select("doc_id", F.size("r.stretches").alias("n_spans"), "r.vault_size", "r.redacted")
 
 
 def rehydrate(texts: DataFrame, entries: DataFrame, column: str = "redacted") -> DataFrame:

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import calibrate, dedupe, evaluate, fairness, pathredact, redact, risk, spans, stats, tokens
-from ..operators.detect import baseline_spans, validator_spans
+from ..operators.detect import BASELINE, baseline_spans, validator_spans
 from ..schema import IDENTIFIER_TYPES
-from ..sources.io import read_table, spread
+from ..sources.io import cut, read_table, spread
 from .oracle import ORACLE
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,7 +57,8 @@ def _gate(s: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("doc_id").orderBy(F.desc("decided_at"), F.desc("risk"), F.desc("risk_naive"), F.desc("expected_surviving_identifier_tokens"), F.desc("budget"))
     g = g.withColumn("rn", F.row_number().over(w)).where("rn = 1").select("doc_id", "risk", "risk_naive", F.col("expected_surviving_identifier_tokens").alias("expected"), "budget", "forwarded")
     leak = evaluate.per_document(_both(s, d)).select("doc_id", (F.col("leaked") > 0).alias("leaked"))
-    return g.join(leak, "doc_id")
+    # a slim table that several passes read
+    return cut(g.join(leak, "doc_id"))
 
 
 # --- scans, projections -------------------------------------------------------------------------------------------------------------------------------------------------
@@ -86,25 +87,12 @@ def surfaces_projected(s, d):
 
 @query
 def tail_split_dev(s, d):
-    """The last 200 training documents by id are the development tail."""
-    t = _docs(s, d).where("split = 'train'").select("doc_id", "source")
-    return t.orderBy(F.desc("doc_id")).limit(200)
-
-
-@query
-def head_slice(s, d):
-    return _docs(s, d).select("doc_id", "doc_type").orderBy("doc_id").limit(80)
-
-
-@query
-def tail_split_dev_2000(s, d):
-    """The surveyed tail: the last 2,000 training documents by id. No SQL; tail_split_dev is the short form of it."""
+    """The last 2,000 training documents by id are the development tail."""
     return _docs(s, d).where("split = 'train'").select("doc_id", "source").orderBy(F.desc("doc_id")).limit(2000)
 
 
 @query
-def head_slice_800(s, d):
-    """The surveyed head: the first 800 documents by id; see tail_split_dev_2000."""
+def head_slice(s, d):
     return _docs(s, d).select("doc_id", "doc_type").orderBy("doc_id").limit(800)
 
 
@@ -119,51 +107,51 @@ def _hits(s: SparkSession, d: str, pattern: str, keep: Callable | None = None) -
 
 @query
 def detect_email(s, d):
-    return _hits(s, d, r"[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]+)+")
+    return _hits(s, d, X.PATTERNS["email"])
 
 
 @query
 def detect_ipv4(s, d):
-    return _hits(s, d, r"(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])")
+    return _hits(s, d, X.PATTERNS["ipv4"])
 
 
 @query
-def detect_card_luhn(s, d):
-    return _hits(s, d, r"[0-9](?:[ -]?[0-9]){12,18}", X.luhn_ok)
+def detect_ipv6(s, d):
+    return _hits(s, d, X.PATTERNS["ipv6"])
 
 
 @query
-def validated_email(s, d):
-    """E-mail addresses by the validator's own pattern, letters outside ASCII included. No SQL: DuckDB has neither lookarounds nor a Unicode \\w; detect_email is the reduced form SQL can compare."""
-    return _hits(s, d, X.PATTERNS["email"])
+def detect_ssn(s, d):
+    return _hits(s, d, X.PATTERNS["ssn"])
 
 
 @query
-def validated_ipv4(s, d):
-    """Network addresses by the validator's own pattern, bordered and with leading zeros; see validated_email."""
-    return _hits(s, d, X.PATTERNS["ipv4"])
+def detect_card_luhn(s, d):
+    return _hits(s, d, X.PATTERNS["credit_card_number"], X.luhn_ok)
 
 
 @query
-def validated_card_luhn(s, d):
-    """Card numbers by the validator's own pattern and the Luhn sum, none out of longer runs of digits; see validated_email."""
-    return _hits(s, d, X.PATTERNS["credit_card_number"], X.luhn_ok)
+def detect_iban_mod97(s, d):
+    return _hits(s, d, X.PATTERNS["iban"], X.iban_ok)
 
 
 @query
-def detect_iban_mod97(s, d):
-    return _hits(s, d, r"[A-Z]{2}[0-9]{2}[ ]?(?:[A-Z0-9]{4}[ ]?){2,7}[A-Z0-9]{1,4}", X.iban_ok)
+def extracted_urls(s, d):
+    """Addresses on the web; the stored texts hold few, so each has a sentence behind it that names one, made of the document's source."""
+    t = _texts(s, d, "source").select("doc_id", F.concat("text", F.lit("\nsee https://"), F.regexp_replace(F.coalesce("source", F.lit("none")), r"[^A-Za-z0-9.-]", "-"), F.lit(".example/a?b=1, or http://x.example.")).alias("text"))
+    h = t.select("doc_id", X.find_all("text", X.URL).alias("h"))
+    return h.select("doc_id", F.size("h").alias("n"), F.array_join(F.transform("h", lambda x: x["surface"]), "|").alias("surfaces"))
 
 
 @query
 def detect_name_bigram(s, d):
-    return _hits(s, d, r"[A-Z][a-z]{1,15}(?:[ -][A-Z][a-z]{1,15}){1,2}")
+    return _hits(s, d, BASELINE["name"])
 
 
 @query
 def detection_offsets(s, d):
     """Offsets of e-mail addresses, in code points; the surface read back at them."""
-    h = _texts(s, d).select("doc_id", "text", F.explode(X.find_all("text", r"[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]+)+")).alias("h"))
+    h = _texts(s, d).select("doc_id", "text", F.explode(X.find_all("text", X.PATTERNS["email"])).alias("h"))
     return h.groupBy(F.col("h.surface").alias("surface")).agg(F.count("*").alias("n"), F.count_if(X.surface_of("text", "h.start_pos", "h.end_pos") == F.col("h.surface")).alias("at_offset"))
 
 
@@ -182,7 +170,7 @@ def baseline_spans_by_label(s, d):
 @query
 def hybrid_union(s, d):
     """Predicted spans united with the validators' and merged, the validators' labels first."""
-    b = _both(s, d).where("text is not null")
+    b = spread(_both(s, d).where("text is not null").select("doc_id", "text", "pred"))
     kind = "array<struct<start_pos:int,end_pos:int,label:string,score:double>>"
     m = spans.merge_union(F.concat(F.col("pred").cast(kind), validator_spans("text")), ("credit_card_number", "iban", "email", "ipv4", "ipv6", "ssn"))
     return b.select(F.explode(m).alias("m")).groupBy("m.label").agg(F.count("*").alias("spans"), F.sum(F.col("m.end_pos") - F.col("m.start_pos")).alias("chars"))
@@ -519,9 +507,84 @@ def calibrator_blocks(s, d):
 
 @query
 def calibrated_decisions(s, d):
-    g = _gate(s, d)
-    p = calibrate.decide(calibrate.predict(g.drop("risk", "budget"), calibrate.fit(g, "expected", "leaked"), "expected"))
-    return p.select("doc_id", F.round("risk", 9).alias("risk"), "forward", "route", "reason")
+    """The decision as it is published: risks rounded, route and reason."""
+    g = _gate(s, d).select("doc_id", "expected", "leaked")
+    p = calibrate.decisions(g, "expected", calibrate.fit(g, "expected", "leaked"))
+    return p.select("doc_id", "decision.*")
+
+
+@query
+def naive_decisions(s, d):
+    """The decision without a calibration, for every document with an expectation."""
+    g = read_table(s, d, "gate_decision").where("expected_surviving_identifier_tokens is not null").groupBy("doc_id").agg(F.max("expected_surviving_identifier_tokens").alias("expected"))
+    return calibrate.decisions(g, "expected", budget=0.3).select("doc_id", "decision.*")
+
+
+@query
+def decoded_spans(s, d):
+    """Spans decoded from the stand-in scorer's tokens at a threshold."""
+    return risk.decoded(risk.feature_scorer(_texts(s, d)), 0.12)
+
+
+@query
+def gate_payloads(s, d):
+    """What the gate says about each document as JSON; the keys of it, and the length read back."""
+    from ..streaming.gate_stream import payload
+
+    p = payload(_texts(s, d))
+    return p.select("doc_id", F.array_join(F.json_object_keys("payload"), ",").alias("keys"), F.get_json_object("payload", "$.characters").cast("long").alias("characters"))
+
+
+def _no_model(s: SparkSession, d: str) -> DataFrame:
+    b = _both(s, d)
+    leak = evaluate.per_document(b).select("doc_id", (F.col("leaked") > 0).alias("leaked"))
+    return risk.surviving_statistics(spread(b.select("doc_id", "text", "pred"))).join(leak, "doc_id")
+
+
+@query
+def best_no_model_statistic(s, d):
+    """Six statistics that need no model and their negations, ranked by AUC."""
+    return evaluate.best_statistic(cut(_no_model(s, d)), risk.NO_MODEL, "leaked")
+
+
+@query
+def token_flags_auc(s, d):
+    """Posterior sum, token count and tokens above each threshold, of the tokens that survive, ranked by AUC under both signs."""
+    b = _both(s, d)
+    t = risk.with_survivors(risk.feature_scorer(spread(b.where("text is not null").select("doc_id", "text", "pred"))))
+    leak = evaluate.per_document(b).select("doc_id", (F.col("leaked") > 0).alias("leaked"))
+    f = risk.flag_statistics(t, (0.01, 0.05, 0.2)).withColumn("posterior", F.round("posterior", 6))
+    return evaluate.best_statistic(cut(f.join(leak, "doc_id")), ("posterior", "tokens", "flag_01", "flag_05", "flag_2"), "leaked")
+
+
+@query
+def random_gate_samples(s, d):
+    """Leak rates of twenty random gates at three coverages."""
+    r = stats.random_gate_samples(_gate(s, d), "leaked", "doc_id", [0.25, 0.5, 0.6365])
+    return r.select("coverage", "k", F.round("mean", 9).alias("mean"), F.round("sd", 9).alias("sd"))
+
+
+@query
+def report_drift(s, d):
+    """The scorecard of the dev split against that of the test split, measure by measure."""
+    b = _both(s, d)
+    of = lambda x: evaluate.flattened(evaluate.scorecard(b.where(F.col("split") == x)))
+    r = evaluate.drift(of("dev"), of("test"), "measure", "value")
+    return r.select("measure", "a", "b", F.round("delta", 6).alias("delta"), "same")
+
+
+@query
+def label_frequencies(s, d):
+    """Labels of the annotation by falling frequency, ties by name."""
+    n = _docs(s, d).select(F.explode("spans").alias("s")).where("s.label is not null").groupBy("s.label").agg(F.count("*").alias("n"))
+    # labels are a vocabulary
+    return n.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "label")))
+
+
+@query
+def tail_tenth(s, d):
+    """The last tenth of the training documents, one at least, as the development tail of a limited run."""
+    return evaluate.tail(_docs(s, d).where("split = 'train'").select("doc_id", "source"), "doc_id")
 
 
 @query
@@ -559,7 +622,16 @@ def exact_duplicates_sha(s, d):
 
 @query
 def near_duplicates_line_jaccard(s, d):
-    return dedupe.line_similarity(_docs(s, d)).select("a", "b", "shared", F.round("jaccard", 6).alias("jaccard"))
+    """Classes of documents whose sets of lines are alike, with the documents in each."""
+    return dedupe.line_similarity(_docs(s, d)).select("a", "b", "shared", F.round("jaccard", 6).alias("jaccard"), "copies_a", "copies_b")
+
+
+@query
+def line_class_members(s, d):
+    """A row per document with lines: its class, and the number of links of the class to others."""
+    links, members = dedupe.line_classes(_docs(s, d))
+    n = links.select(F.col("a").alias("rep")).unionByName(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("links"))
+    return members.join(n, "rep", "left").select("doc_id", "rep", F.col("n").alias("lines"), F.coalesce("links", F.lit(0)).alias("links"))
 
 
 @query
@@ -572,36 +644,33 @@ def sloc_style_line_counts(s, d):
     return dedupe.line_counts(_docs(s, d).withColumn("split", F.coalesce("split", F.lit("none"))), "split")
 
 
-@query
-def path_redaction(s, d):
-    """References like ABC/2020/1234 are no paths and stay; absolute paths made of a document's source and type are replaced."""
-    t = _docs(s, d).where("source is not null and source <> ''").select("doc_id", F.concat(F.lit("see /srv/"), F.regexp_replace("source", r"[^A-Za-z0-9_.-]", "_"), F.lit("/in/doc.txt and /usr/bin/env.")).alias("t"))
-    r = t.select("doc_id", pathredact.redact_paths("t").alias("once"))
-    return r.select("doc_id", "once", (pathredact.redact_paths("once") == F.col("once")).alias("stable"))
+#: Folders known by name, for the queries over stored texts.
+_KNOWN = {"/srv/desk": "<desk>", "/srv/desk/in": "<in>", "/usr/share/desk": "<share>", "/tmp": "<never>"}
 
 
-#: Fixed value: a folder known by name, for the queries over stored texts.
-_KNOWN = {"/srv/": "<srv>/"}
-
-
-def _with_path(s: SparkSession, d: str) -> DataFrame:
-    """doc_id, t: the stored texts, each with a sentence behind it that names a path, as paths are rare in them."""
-    source = F.regexp_replace(F.coalesce("source", F.lit("none")), r"[^A-Za-z0-9_.-]", "_")
-    return _texts(s, d, "source").select("doc_id", F.concat("text", F.lit("\nsee /srv/"), source, F.lit("/in/doc.txt, /data/"), source, F.lit("/doc.txt and /usr/bin/env.")).alias("t"))
+def _with_paths(s: SparkSession, d: str) -> DataFrame:
+    """doc_id, t: the stored texts, each with sentences behind it that name paths of every kind: known folders one inside another and with neighbours of like names, other folders twice, system folders, and what is no path."""
+    name = F.regexp_replace(F.coalesce("source", F.lit("none")), r"[^A-Za-z0-9_.-]", "_")
+    planted = F.concat(
+        F.lit("\nsee /srv/desk/in/"), name, F.lit(", /srv/desk/out/"), name, F.lit(" and /srv/desk2/in/"), name, F.lit("; /opt/acme/"), name, F.lit("/x.csv beside /opt/acme/"), name, F.lit("/y.csv. Not /usr/bin/env, /tmp/"), name,
+        F.lit(", /opt/conda/bin, /run/x nor 12/34/5678, https://a.example/b/c or <in>/d/e; \ue000/usr/share/desk/f\ue001."),
+    )
+    return _texts(s, d, "source").select("doc_id", F.concat("text", planted).alias("t"))
 
 
 @query
-def path_redaction_texts(s, d):
-    """Stored texts with their absolute paths replaced, a known prefix by its name; no SQL, path_redaction is the form SQL can compare."""
-    return _with_path(s, d).select("doc_id", pathredact.redact_paths("t", _KNOWN).alias("once"))
+def path_redaction(s, d):
+    """Stored texts with their absolute paths replaced, and whether doing it again changes anything."""
+    r = _with_paths(s, d).select("doc_id", pathredact.redact_paths("t", _KNOWN).alias("once"))
+    return r.select("doc_id", "once", (pathredact.redact_paths("once", _KNOWN) == F.col("once")).alias("stable"))
 
 
 @query
 def path_leaks(s, d):
-    """Texts in which the leak finder still meets a path, by stage: as stored, and redacted (no row if there is none)."""
+    """What the leak finder meets, by stage: paths of the texts as stored, and redacted (no row if there is none)."""
     stages = F.array(F.struct(F.lit("stored").alias("stage"), F.col("t")), F.struct(F.lit("redacted").alias("stage"), pathredact.redact_paths("t", _KNOWN).alias("t")))
-    x = _with_path(s, d).select(F.explode(stages).alias("x")).select("x.*")
-    return pathredact.leaking_paths(x, "t", _KNOWN).groupBy("stage").agg(F.count("*").alias("leaking"))
+    x = _with_paths(s, d).select("doc_id", F.explode(stages).alias("x")).select("doc_id", "x.*")
+    return pathredact.leaking_paths(x, "t", _KNOWN).groupBy("stage").agg(F.count("*").alias("leaking"), F.sum(F.size("paths")).alias("paths"))
 
 
 @query
@@ -617,7 +686,7 @@ def decisions_per_day(s, d):
 def received_lag(s, d):
     """Seconds between receipt and loading, per channel of the source; sources nobody knows under 'unknown'."""
     c = read_table(s, d, "intake_source").select("source", "channel")
-    x = _docs(s, d).where("received_at is not null and loaded_at is not null").join(F.broadcast(c.limit(100_000)), "source", "left")
+    x = _docs(s, d).where("received_at is not null and loaded_at is not null").join(c, "source", "left")
     return x.groupBy(F.coalesce("channel", F.lit("unknown")).alias("channel")).agg(F.count("*").alias("n"), F.sum(F.expr("timestampdiff(SECOND, date_trunc('second', received_at), date_trunc('second', loaded_at))")).alias("seconds"))
 
 
