@@ -216,6 +216,23 @@ def test_span_folds_against_loops(spark):
     assert _folds(spark, data, spans.merge_union("spans", ("email",))) == [union(x, {"email"}) for x in data]
 
 
+def test_measures_of_a_document_are_those_of_its_rows(spark):
+    rng = random.Random(12)
+    labels = ["name", "email", "company", "iban", None]
+    span = lambda: (a := rng.randint(-1, 40), a + rng.randint(-1, 9), rng.choice(labels))
+    rows = [(i, [None if rng.random() < 0.05 else span() for _ in range(rng.randint(0, 9))], [(*span(), 1.0) for _ in range(rng.randint(0, 9))]) for i in range(150)]
+    df = spark.createDataFrame(rows, f"doc_id long, gold array<struct<start_pos:int,end_pos:int,label:string>>, pred {SPANS}")
+    g = evaluate.gold_rows(df).groupBy("doc_id").agg(
+        F.count("*").alias("gold"), F.count_if("caught").alias("caught"), F.count_if(~F.col("caught") & (F.col("masked") > 0)).alias("partly"),
+        F.count_if(F.col("caught") & (F.col("found_label") == F.col("label"))).alias("typed"), F.sum(F.col("end_pos") - F.col("start_pos")).alias("gold_chars"), F.sum("masked").alias("masked_chars"),
+    )
+    over = evaluate.over_redaction(df).groupBy("doc_id").agg(F.count("*").alias("over"))
+    cols = ["gold", "caught", "partly", "typed", "gold_chars", "masked_chars", "over"]
+    want = {r.doc_id: tuple(r[c] for c in cols) for r in df.select("doc_id").join(g, "doc_id", "left").join(over, "doc_id", "left").na.fill(0).collect()}
+    got = {r.doc_id: tuple(r[c] for c in cols) for r in evaluate.per_document(df).collect()}
+    assert got == want and all(r.leaked == r.gold - r.caught for r in evaluate.per_document(df).collect())
+
+
 def test_scorecard(spark):
     kind = "array<struct<start_pos:int,end_pos:int,label:string>>"
     rows = [(0, [(0, 9, "name"), (0, 20, "email"), (30, 35, "company")], [(0, 9, "name", 1.0), (50, 60, "name", 1.0)]), (1, [(0, 9, "name")], [(0, 5, "name", 1.0)]), (2, [(0, 4, "name")], [(0, 4, "company", 1.0)]), (3, [], [])]
@@ -259,8 +276,9 @@ def test_auc_over_many_ranges(spark):
     rng = random.Random(6)
     df = spark.createDataFrame([(rng.random(), rng.random() < 0.4) for _ in range(700)], "s double, y boolean")
     assert one(stats.auc(df, "s", "y", rows=3)).auc == pytest.approx(one(stats.auc(df, "s", "y")).auc)
+    # scores are ordered within their ranges
     plan = stats.auc(df, "s", "y")._jdf.queryExecution().executedPlan().toString()
-    assert "SinglePartition" not in plan.split("HashAggregate", 1)[0]
+    assert "hashpartitioning(range" in plan
 
 
 def test_ordered_position_is_a_permutation(spark):
