@@ -143,6 +143,20 @@ def test_decoding_of_tokens(spark):
     assert got == [(0, 15, "name", 0.2, 3), (18, 22, "name", 0.5, 1), (23, 26, "name", 0.6, 1)]
 
 
+def test_decoding_stays_within_each_row(spark):
+    # two texts share a batch; NaN reaches the threshold, null doesn't; a text that ends with a kept token doesn't join the next one's
+    toks = lambda *x: [(a, b, q, l, q) for a, b, q, l in x]
+    one_ = toks((0, 2, 0.5, "name"), (3, 5, float("nan"), "I-name"), (6, 8, None, "name"), (9, 11, 0.9, "name"))
+    two = toks((0, 2, 0.7, "name"), (3, 5, 0.4, "name"), (7, 9, 0.3, "email"), (10, 12, 0.3, None))
+    rows = [(1, "aa bb cc dd", one_), (2, "aa\x1fbb, cc dd", two), (3, "x", None), (4, "aa-bb", toks((0, 2, 0.7, "name"), (3, 5, 0.4, "name")))]
+    df = risk.decoded(spark.createDataFrame(rows, f"doc_id long, text string, tokens {risk._TOKENS}").coalesce(1), 0.2)
+    got = sorted(((r.doc_id, r.start_pos, r.end_pos, r.label, r.score, r.tokens) for r in df.collect()))
+    assert got == [(1, 0, 5, "name", 0.5, 2), (1, 9, 11, "name", 0.9, 1), (2, 0, 5, "name", 0.4, 2), (2, 7, 9, "email", 0.3, 1), (2, 10, 12, None, 0.3, 1), (4, 0, 2, "name", 0.7, 1), (4, 3, 5, "name", 0.4, 1)]
+    # texts and tokens aren't shuffled
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan
+
+
 def test_payload_of_one_document(spark, tmp_path):
     import json
 

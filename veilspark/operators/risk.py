@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..schema import IDENTIFYING, THRESHOLD
 from .detect import validator_spans
-from .spans import islands, merged_intervals
+from .spans import merged_intervals
 
 
 _WORD, _TWO_DIGITS = re.compile(r"\S+"), re.compile(r"[0-9]{2}")
@@ -32,6 +32,8 @@ class Detector(Protocol):
     def __call__(self, text: Column | str) -> Column: ...
 
 
+#: Texts whose words a Python worker holds at once.
+ROWS = 500
 _TOKENS = "array<struct<start_pos:int,end_pos:int,p_pii:double,label:string,p_ident:double>>"
 
 
@@ -39,8 +41,7 @@ def feature_scorer(docs: DataFrame) -> DataFrame:
     """A stand-in scorer without a model: tokens at white space, a logistic of four features (capital, digits, sign, length). Its quality says nothing about a trained one's.
     Models run in Arrow batches; so does this: features of all tokens of a batch at once."""
 
-    @F.arrow_udf(_TOKENS)
-    def score(texts: pa.Array) -> pa.Array:
+    def scored(texts: pa.Array) -> pa.Array:
         spans, words, counts = [], [], [0]
         for t in texts.to_pylist():
             for m in _WORD.finditer(t or ""):
@@ -56,6 +57,11 @@ def feature_scorer(docs: DataFrame) -> DataFrame:
         fields = [pa.array(at[:, 0]), pa.array(at[:, 1]), pa.array(p), pa.array(label, pa.string()), pa.array(0.9 * p)]
         return pa.ListArray.from_arrays(pa.array(counts, pa.int32()), pa.StructArray.from_arrays(fields, ["start_pos", "end_pos", "p_pii", "label", "p_ident"]))
 
+    @F.arrow_udf(_TOKENS)
+    def score(texts: pa.Array) -> pa.Array:
+        # the words of ROWS texts at a time are Python objects
+        return pa.concat_arrays([scored(texts.slice(i, ROWS)) for i in range(0, max(1, len(texts)), ROWS)])
+
     return docs.withColumn("tokens", score("text"))
 
 
@@ -64,19 +70,54 @@ def at_threshold(p: Column | str, threshold: float = THRESHOLD) -> Column:
     return (F.col(p) if isinstance(p, str) else p) >= threshold
 
 
+_DECODED = "array<struct<start_pos:int,end_pos:int,label:string,score:double,tokens:bigint>>"
+
+
+def _decoded(texts: pa.Array, tokens: pa.ListArray, threshold: float) -> pa.ListArray:
+    """_DECODED of each row of an Arrow batch, over the tokens of all its rows at once."""
+    rows = len(tokens)
+    t, counts = tokens.flatten(), tokens.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(rows), counts)
+    # nulls don't reach the threshold; Spark's order puts NaN above every number
+    p = t.field("p_pii")
+    kept = np.nonzero(p.is_valid().to_numpy(zero_copy_only=False) & ~(p.to_numpy(zero_copy_only=False) < threshold))[0]
+    p, row = p.to_numpy(zero_copy_only=False)[kept], row[kept]
+    start, end = (t.field(c).to_numpy(zero_copy_only=False)[kept] for c in ("start_pos", "end_pos"))
+    tags = t.field("label").take(pa.array(kept)).dictionary_encode()
+    named = tags.dictionary.to_pylist()
+    types = sorted({re.sub("^[BI]-", "", x) for x in named})
+    # the last entries are for a null
+    kind = np.array([*(types.index(re.sub("^[BI]-", "", x)) for x in named), -1])[tags.indices.fill_null(len(named)).to_numpy()]
+    begins = np.array([*(x.startswith("B-") for x in named), False])[tags.indices.fill_null(len(named)).to_numpy()]
+    joined = np.zeros(len(kept), bool)
+    joined[1:] = (row[1:] == row[:-1]) & (kept[1:] == kept[:-1] + 1) & (kind[1:] == kind[:-1]) & ~begins[1:]
+    at, text = -1, None
+    for k in np.nonzero(joined)[0]:
+        if row[k] != at:
+            at, text = row[k], texts[row[k]].as_py()
+        gap = text[end[k - 1] : start[k]] if text else ""
+        joined[k] = not gap or gap.isspace()
+    first = np.nonzero(~joined)[0]
+    if not len(first):
+        first = np.zeros(0, np.int64)
+        spans = [np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0), np.zeros(0, np.int64)]
+    else:
+        spans = [np.minimum.reduceat(start, first), np.maximum.reduceat(end, first), np.fmin.reduceat(p, first), np.diff(np.append(first, len(kept)))]
+    label = pa.array([*types, None], pa.string()).take(pa.array(kind[first] % (len(types) + 1)))
+    fields = [pa.array(spans[0].astype(np.int32)), pa.array(spans[1].astype(np.int32)), label, pa.array(spans[2]), pa.array(spans[3].astype(np.int64))]
+    offsets = np.concatenate(([0], np.cumsum(np.bincount(row[first], minlength=rows)))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(fields, ["start_pos", "end_pos", "label", "score", "tokens"]))
+
+
 def decoded(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs: doc_id, text, tokens. (doc_id, start_pos, end_pos, label, score, tokens): neighbouring tokens at the threshold, of one type and apart by white space only, as one span. A token below the threshold, or one
-    whose label begins with B-, breaks; the type is the label without its B- or I-."""
-    t = docs.select("doc_id", "text", F.posexplode("tokens").alias("k", "t")).where(at_threshold(F.col("t.p_pii"), threshold))
-    before = F.expr("lag(struct(k, t.end_pos)) over (partition by doc_id order by k)")
-    t = t.withColumn("before", before)
-    gap = F.substring(F.col("text"), F.col("before.end_pos") + 1, F.col("t.start_pos") - F.col("before.end_pos"))
-    return islands(
-        t.select(
-            "doc_id", "t.start_pos", "t.end_pos", F.regexp_replace("t.label", "^[BI]-", "").alias("label"), F.col("t.p_pii").alias("score"),
-            (F.col("t.label").startswith("B-") | F.coalesce(F.col("before.k") + 1 != F.col("k"), F.lit(False))).alias("begins"), F.coalesce(gap.rlike(r"(?U)^[\s\x1c-\x1f]*\z"), F.lit(True)).alias("gap_blank"),
-        )
-    )
+    """docs: doc_id, text, tokens in order. (doc_id, start_pos, end_pos, label, score, tokens): neighbouring tokens at the threshold, of one type and apart by white space only, as one span. A token below the threshold, or
+    one whose label begins with B-, breaks; the type is the label without its B- or I-. A row is decoded by itself in its Arrow batch: neither texts nor tokens are shuffled."""
+
+    @F.arrow_udf(_DECODED)
+    def spans(texts: pa.Array, tokens: pa.Array) -> pa.Array:
+        return pa.concat_arrays([_decoded(texts.slice(i, ROWS), tokens.slice(i, ROWS), threshold) for i in range(0, max(1, len(texts)), ROWS)])
+
+    return docs.select("doc_id", F.inline(spans("text", "tokens"))).withColumn("score", F.bround("score", 4))
 
 
 def with_survivors(docs: DataFrame, spans: str = "pred", redacted_only: bool = False, types: Sequence[str] = IDENTIFYING, name: str = "surviving") -> DataFrame:
