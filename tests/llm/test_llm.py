@@ -94,6 +94,51 @@ def test_p1_exact_scheme_loses_nothing(spark, monkeypatch):
     assert got == pairs_by_brute_force(texts) and len(got) > 30
 
 
+def reordered(rng, n):
+    """Lists of short items and short lines in another order, and texts of few shingles over and over."""
+    texts = []
+    for _ in range(n):
+        lines = [words(rng, 9)[:44].strip() for _ in range(rng.randint(6, 12))]
+        items = [f"Item name: {words(rng, 3)[:10].strip()}" for _ in range(rng.randint(12, 40))]
+        texts += ["\n".join(x) for y in (lines, items) for x in (y, rng.sample(y, len(y)), rng.sample(y, len(y)), rng.sample(y, len(y) * 4 // 5))]
+    for _ in range(n):
+        w = words(rng, 4)[: rng.randint(8, 24)]
+        texts += [(w + "-") * 20, (w + "-") * 21 + words(rng, 1), (w + "-") * 19 + words(rng, 2)]
+    return texts
+
+
+def test_p1_short_lines_in_another_order_and_small_sets(spark):
+    # most shingles of 12 are shared, hardly one of 32; sets of few shingles leave bins empty
+    texts = reordered(random.Random(21), 40)
+    want = pairs_by_brute_force(texts)
+    got = {(r.doc_id_a, r.doc_id_b) for r in near_duplicates.near_duplicate_pairs(docs(spark, texts)).collect()}
+    assert got == want and len(want) > 200
+
+
+def test_p1_bands_by_the_threshold():
+    for t in (0.4, 0.6, 0.8):
+        b = near_duplicates.bands_for(t)
+        p = t**4
+        assert b % 4 == 0 and (1 - p) ** b + b * p * (1 - p) ** (b - 1) <= 1e-9
+    with pytest.raises(ValueError):
+        near_duplicates.bands_for(0.0)
+
+
+def test_p1_sets_of_every_size_agree_in_enough_bands():
+    # pairs at the threshold on both sides of the border between the kinds of minwise values
+    from veilspark.llm.shingles import band_hashes, binned_values, small_values
+
+    rng = np.random.default_rng(3)
+    for n, make in ((10, small_values), (60, small_values), (190, small_values), (130, binned_values), (700, binned_values)):
+        agree = []
+        for _ in range(60):
+            u = rng.integers(0, 1 << 63, n * 5, dtype=np.uint64)
+            a, b = np.sort(u[: 4 * n]), np.sort(u[n:])
+            agree.append(int((band_hashes(make(a, 704)) == band_hashes(make(b, 704))).sum()))
+        # 22.8 of 176 on average
+        assert 20 < np.mean(agree) < 26 and min(agree) >= 2
+
+
 @pytest.mark.parametrize("hot", [2, 16, 1000])
 def test_p1_levels_meet_each_other(spark, monkeypatch, hot):
     # sets drawn from few tokens: every level is taken by some document, and pairs between levels must be met

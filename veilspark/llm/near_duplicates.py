@@ -1,7 +1,10 @@
-"""Problem 1: near-duplicate records, by adaptive multi-match prefixes.
+"""Problem 1: near-duplicate records, by bands of minwise values, or by adaptive multi-match prefixes without any chance of a loss.
 
 Similarity is the Jaccard coefficient of the sets of all 12-code-point substrings of the normal form (lower case, white space
-runs to one space, trimmed). Candidate search, by a Scheme:
+runs to one space, trimmed). The search the queries use takes minwise values of that very set, in bands of ROWS; a pair is a candidate if it agrees in LEAST_BANDS bands and in a one-bit sketch. For two
+texts at the threshold to be lost, whatever they hold, the permutations must be unlucky: a probability of MISS in the bands (176 of them at .6) and less than that in the sketch (FAR standard deviations);
+above the threshold it falls fast (at .65 by a factor of a thousand). Small sets take each value from a permutation of its own, larger ones BINS values from one; sets near the border carry both kinds. Where even that chance must not be, give exact(threshold).
+Candidate search by a Scheme:
 
 * Each document has a set of N tokens. A similar document shares at least o = ceil(share * N) of them, so of its tokens in one global order, the rarest first (by
   document frequency, ties by hash), the first N - o + l of each hold l shared ones: the prefix of match level l. Tokens that nobody else has come first in the
@@ -9,7 +12,7 @@ runs to one space, trimmed). Candidate search, by a Scheme:
 * Tokens held by more than HOT documents are costly. At level l a document looks up the others of its prefix singly and the costly ones in combinations of l. Each document
   estimates its candidates at levels 1 to LEVELS (counts of its single tokens, number of combinations times what one is likely to meet) and takes the cheapest. So that pairs
   between levels are met, it also offers the combinations of lower levels to those who ask for them, without asking itself.
-* PRACTICAL: 32-code-point shingles (12-code-point ones for texts of under 96 code points in normal form; texts of 96 to 170 carry both families), the 40 of least hash,
+* PRACTICAL, which no query takes: 32-code-point shingles (12-code-point ones for texts of under 96 code points in normal form; texts of 96 to 170 carry both families), the 40 of least hash,
   of which a fifth must be shared. EXACT (see exact()): all 12-code-point shingles and the threshold itself, which loses no pair. In the practical scheme two texts at a
   similarity of .63 share half of their tokens or more in this project's data (.37 as a Jaccard coefficient): fewer than a fifth of 40 then has a probability of 3e-6; at .25 it is 3e-3. Its
   candidates must also agree in a 192-bit one-bit minwise sketch of the 12-code-point shingles (a similarity of .63 is lost with probability 1e-6).
@@ -23,8 +26,10 @@ similar to nothing. Repeated doc_ids with equal text count once. Empty tables gi
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -32,13 +37,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, cut, map_arrow, spread
-from .shingles import LEAST_AGREEMENT, class_key, codes_of, distinct, jaccard, minwise, normal_form, one_bit_sketch, shingle_set, window_hashes
+from .shingles import BINNED, BINS, LEAST_AGREEMENT, ROWS, SMALL, band_hashes, binned_values, class_key, codes_of, distinct, jaccard, minwise, normal_form, one_bit_sketch, shingle_set, small_values, window_hashes
 
 #: Documents a token may be held by before it counts as costly.
 HOT = 128
 #: The highest match level a document may take.
 LEVELS = 3
 _ANY = 1 << 40
+#: Bands in which candidates agree, and the probability with which a pair at the threshold may agree in fewer.
+LEAST_BANDS, MISS = 2, 1e-9
+#: Longs of the one-bit sketch that candidates must also agree in, to within FAR standard deviations of what the threshold has on average.
+LONGS, FAR = 8, 6.4
+#: Bands that travel in one block.
+BLOCK = 4
 
 
 @dataclass(frozen=True)
@@ -159,6 +170,111 @@ def _candidates(reps: DataFrame, threshold: float, scheme: Scheme = PRACTICAL) -
     return found.union(between).distinct()
 
 
+def bands_for(threshold: float, miss: float = MISS) -> int:
+    """Bands of ROWS minwise values with which a pair at the threshold agrees in fewer than LEAST_BANDS of them with a probability of at most miss; a multiple of BINS / ROWS."""
+    if not 0 < threshold <= 1:
+        raise ValueError("the threshold must lie above 0 and be at most 1")
+    p, step = threshold**ROWS, BINS // ROWS
+    b = step
+    while sum(comb(b, k) * p**k * (1 - p) ** (b - k) for k in range(LEAST_BANDS)) > miss:
+        b += step
+    return b
+
+
+def banded_signatures(df: DataFrame, threshold: float, min_chars: int = 200, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """One row per document that takes part: class key, number of shingles, and the keys of its bands and its sketch as a small set, as a binned one, or both."""
+    bands = bands_for(threshold)
+    # two sets that reach the threshold are both small or both binned
+    small, values_made = max(SMALL, int(BINNED / threshold) + 1), max(bands * ROWS, 64 * LONGS)
+
+    def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
+        ids, keys, sizes, found = [], [], [], ([], [], [], [])
+        for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            s = normal_form(t)
+            sh = distinct(window_hashes(codes_of(s), 12))
+            if not len(sh):
+                continue
+            ids.append(i)
+            keys.append(np.frombuffer(class_key(s), np.int64))
+            sizes.append(len(sh))
+            for k, values in enumerate((small_values(sh, values_made) if len(sh) <= small else None, binned_values(sh, values_made) if len(sh) >= BINNED else None)):
+                found[k].append(None if values is None else band_hashes(values[: bands * ROWS]).tobytes())
+                found[2 + k].append(None if values is None else one_bit_sketch(values[: 64 * LONGS]))
+        k = np.array(keys, np.int64).reshape(len(ids), 2)
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(k[:, 0]), pa.array(k[:, 1]), pa.array(sizes, pa.int32()), *(pa.array(x, pa.binary()) for x in found[:2]), *(pa.array(x, pa.list_(pa.int64())) for x in found[2:])], ["doc_id", "c1", "c2", "n12", "small", "binned", "small_bits", "binned_bits"])
+
+    docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where(F.col("doc_id").isNotNull() & (F.length("text") >= min_chars))
+    return map_arrow(spread(docs), fn, "doc_id long, c1 long, c2 long, n12 int, small binary, binned binary, small_bits array<long>, binned_bits array<long>")
+
+
+def _planes(ids: np.ndarray) -> bytes:
+    """Longs with their first bytes, then their second bytes, and so on: most of these repeat, and the shuffle compresses them."""
+    return ids.view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _longs(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view(np.int64).ravel()
+
+
+def _equal_keys(keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray, apart: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of ids with equal keys and sizes at most `apart` apart, the lesser first."""
+    order = np.argsort(keys, kind="stable")
+    keys, ids, sizes = keys[order], ids[order], sizes[order].astype(np.int16)
+    at, d = np.arange(len(keys)), 0
+    while len(at):
+        d += 1
+        at = at[at + d < len(keys)]
+        at = at[keys[at] == keys[at + d]]
+        x = at[np.abs(sizes[at] - sizes[at + d]) <= apart]
+        for i in range(0, len(x), 500_000):
+            a, b = ids[x[i : i + 500_000]], ids[x[i : i + 500_000] + d]
+            yield np.minimum(a, b), np.maximum(a, b)
+
+
+def _banded_candidates(reps: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b), a < b, of representatives that agree in LEAST_BANDS bands and whose sizes and sketches allow the threshold. BLOCK bands of a batch of documents travel in one row."""
+    bands = bands_for(threshold)
+    apart = int(np.log(1 / threshold) / np.log(1.1)) + 1
+
+    def blocks(batch: pa.RecordBatch) -> pa.RecordBatch:
+        ids = batch.column(0).to_numpy()
+        sizes = (np.log(batch.column(1).to_numpy()) / np.log(1.1)).astype(np.uint8)
+        out = []
+        for kind in (0, 1):
+            col = batch.column(2 + kind)
+            has = col.is_valid().to_numpy(zero_copy_only=False)
+            if has.any():
+                m = np.frombuffer(b"".join(x for x in col.to_pylist() if x is not None), np.uint32).reshape(-1, bands)
+                own, size = _planes(ids[has]), sizes[has].tobytes()
+                out += [(kind * bands + k, own, size, m[:, k : k + BLOCK].T.tobytes()) for k in range(0, bands, BLOCK)]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["band", "ids", "sizes", "keys"]) if out else None
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [[_longs(i), np.frombuffer(n, np.uint8), np.frombuffer(k, np.uint32).reshape(BLOCK, -1)] for b in batches for i, n, k in zip(*(b.column(c).to_pylist() for c in ("ids", "sizes", "keys")))]
+        ids, sizes = (np.concatenate([p[c] for p in parts]) for c in (0, 1))
+        held, rows = [], 0
+        for k in range(BLOCK):
+            for x in _equal_keys(np.concatenate([p[2][k] for p in parts]), ids, sizes, apart):
+                held.append(x)
+                rows += len(x[0])
+                if rows >= 100_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], ["a", "b"])
+                    held, rows = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], ["a", "b"])
+
+    cut_up = map_arrow(reps.select("doc_id", "n12", "small", "binned"), blocks, "band int, ids binary, sizes binary, keys binary")
+    found = cut_up.groupBy("band").applyInArrow(pairs, "a long, b long").where("a < b")
+    pairs_met = found.groupBy("a", "b").agg(F.count("*").alias("agree")).where(F.col("agree") >= LEAST_BANDS).select("a", "b")
+    same = (1 + threshold) / 2
+    least = int(64 * LONGS * same - FAR * (64 * LONGS * same * (1 - same)) ** 0.5)
+    bits = reps.select("doc_id", "small_bits", "binned_bits")
+    for side in ("a", "b"):
+        pairs_met = pairs_met.join(bits.select(F.col("doc_id").alias(side), F.col("small_bits").alias(f"s{side}"), F.col("binned_bits").alias(f"l{side}")), side)
+    differ = lambda k: F.expr(f"aggregate(zip_with({k}a, {k}b, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)")
+    return pairs_met.where(64 * LONGS - F.coalesce(differ("s"), differ("l")) >= least).select("a", "b").distinct()
+
+
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """(a, b, similarity) of the pairs whose texts' exact Jaccard similarity reaches the threshold. texts: doc_id, text in normal form or not."""
 
@@ -182,23 +298,24 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return map_arrow(both.select("a", "b", "ta", "tb"), fn, "a long, b long, similarity double")
 
 
-def _classes(df: DataFrame, min_chars: int, scheme: Scheme) -> tuple[DataFrame, DataFrame]:
+def _classes(df: DataFrame, threshold: float, min_chars: int, scheme: Scheme | None) -> tuple[DataFrame, DataFrame]:
     """(representatives with signature, membership doc_id -> rep); the signatures are written once."""
-    sig = cut(signatures(df, min_chars, scheme))
+    sig = cut(signatures(df, min_chars, scheme) if scheme else banded_signatures(df, threshold, min_chars))
     rep = sig.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     members = sig.select("doc_id", "c1", "c2").join(rep.where("copies > 1"), ["c1", "c2"]).select("doc_id", "rep").distinct()
     others = members.where("doc_id <> rep").select("doc_id")
     return sig.join(broadcast_if_small(others, 100_000), "doc_id", "left_anti"), members
 
 
-def class_links(df: DataFrame, threshold: float = 0.6, min_chars: int = 200, scheme: Scheme = PRACTICAL) -> tuple[DataFrame, DataFrame]:
+def class_links(df: DataFrame, threshold: float = 0.6, min_chars: int = 200, scheme: Scheme | None = None) -> tuple[DataFrame, DataFrame]:
     """(links, members): links (a, b, similarity) between class representatives, members (doc_id, rep) of the classes of two and more."""
-    reps, members = _classes(df, min_chars, scheme)
+    reps, members = _classes(df, threshold, min_chars, scheme)
     texts = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.length("text") >= min_chars)
-    return verified(cut(_candidates(reps, threshold, scheme)), texts, threshold), members
+    found = _candidates(reps, threshold, scheme) if scheme else _banded_candidates(reps, threshold)
+    return verified(cut(found), texts, threshold), members
 
 
-def near_duplicate_pairs(df: DataFrame, threshold: float = 0.6, min_chars: int = 200, scheme: Scheme = PRACTICAL) -> DataFrame:
+def near_duplicate_pairs(df: DataFrame, threshold: float = 0.6, min_chars: int = 200, scheme: Scheme | None = None) -> DataFrame:
     """(doc_id_a, doc_id_b), doc_id_a < doc_id_b: all pairs of documents above the threshold, copies expanded."""
     links, members = class_links(df, threshold, min_chars, scheme)
     members = cut(members)
@@ -232,7 +349,7 @@ def connected(links: DataFrame) -> DataFrame:
         edges = new
 
 
-def near_duplicate_groups(df: DataFrame, threshold: float = 0.6, min_chars: int = 200, scheme: Scheme = PRACTICAL) -> DataFrame:
+def near_duplicate_groups(df: DataFrame, threshold: float = 0.6, min_chars: int = 200, scheme: Scheme | None = None) -> DataFrame:
     """One row per document of at least min_chars code points: doc_id, group_id (the least id it is linked to, over chains of links) and n_links, the links
     between different texts that its text has. Copies share their representative's group."""
     links, members = class_links(df, threshold, min_chars, scheme)

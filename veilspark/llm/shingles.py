@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from functools import lru_cache
 
 import numpy as np
 
@@ -98,8 +99,54 @@ def minwise(shingles: np.ndarray) -> np.ndarray:
     return out.ravel()
 
 
+#: Values in a band; sets of at most SMALL take each value from the whole set, those of at least BINNED from one of BINS bins. BINNED is small enough for two sets at a similarity of .6 to share a kind.
+ROWS, SMALL, BINNED = 4, 200, 120
+
+
+@lru_cache(maxsize=1024)
+def _odds(first: int, last: int) -> np.ndarray:
+    return np.array([[(_B * (2 * i + 3) ** 5 | 1) & (2**64 - 1)] for i in range(first, last)], np.uint64)
+
+
+def _permuted(s: np.ndarray, first: int, last: int) -> np.ndarray:
+    h = s[None, :] * _odds(first, last)
+    h ^= h >> np.uint64(31)
+    return h
+
+
+def band_hashes(values: np.ndarray) -> np.ndarray:
+    """32 bits for each ROWS minwise values in a row."""
+    v = values.reshape(-1, ROWS)
+    key = v[:, 0] * _M1
+    for i in range(1, ROWS):
+        key = (key ^ (key >> np.uint64(29)) ^ v[:, i]) * _M1
+    return (key >> np.uint64(32)).astype(np.uint32)
+
+
+def small_values(shingles: np.ndarray, values: int) -> np.ndarray:
+    """Minwise values of a small set, each from a permutation of its own."""
+    step = max(1, 200_000 // len(shingles))
+    return np.concatenate([_permuted(shingles, i, min(i + step, values)).min(axis=1) for i in range(0, values, step)])
+
+
+def binned_values(shingles: np.ndarray, values: int) -> np.ndarray:
+    """Minwise values of a set as in minwise(), BINS from a permutation. values: a multiple of BINS."""
+    bins = (shingles & np.uint64(BINS - 1)).astype(np.uint8)
+    order = np.argsort(bins, kind="stable")
+    s, bins = shingles[order], bins[order]
+    starts = np.searchsorted(bins, np.arange(BINS))
+    full = np.diff(np.append(starts, len(s))) > 0
+    passes = values // BINS
+    step, out = max(1, 200_000 // len(s)), np.empty((passes, BINS), np.uint64)
+    for i in range(0, passes, step):
+        low = np.minimum.reduceat(_permuted(s, i, min(i + step, passes)), starts[full], axis=1)
+        out[i : i + step] = low.min(axis=1, keepdims=True)
+        out[i : i + step, full] = low
+    return out.ravel()
+
+
 def one_bit_sketch(values: np.ndarray) -> np.ndarray:
-    """One bit of each minwise value, packed into three signed longs."""
+    """One bit of each minwise value, packed into signed longs, 64 in each."""
     v = values * _M1
     return np.packbits(((v >> np.uint64(47)) & np.uint64(1)).astype(np.uint8)).view(np.int64)
 
