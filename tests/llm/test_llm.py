@@ -3,6 +3,8 @@
 import itertools
 import os
 import random
+import re
+import time
 import unicodedata
 
 import numpy as np
@@ -446,6 +448,41 @@ def test_p7_languages(spark, data, tmp_path):
     assert sum(r.lang == r.main_lang for r in rows) > 0.9 * len(rows)
 
 
+def test_p7_time_in_proportion_to_length():
+    began = time.process_time()
+    dots, token = "." * 40_000, "x" * 40_000
+    assert language.units(f"Inhalt{dots}7 Seiten. Ende.{dots} Neu") == [(0, 40_016), (40_016, 80_022), (80_022, 80_025)]
+    assert language._usable(f"{token} und mail@b.de {token}") == f"{token} und   {token}"
+    # the two took 78 s before
+    assert time.process_time() - began < 5
+
+
+def test_p7_units_and_addresses_as_by_plain_patterns():
+    split = re.compile(r"[.!?]+[\"”»)\]]*[^\S\n]+|[।؟]\s+|[。！？]+(?![」』”])")
+    mail = re.compile(r"[!-~]+ ?(?:@|\(at\)|\[at\]) ?[!-~]+(?:(?: ?[(\[]dot[)\]] ?| dot )[a-z-]+)*|[!-~]+ at [a-z0-9-]+(?:\.[a-z-]+)+")
+    rng = random.Random(7)
+    alphabet = [*"ab.!? \t\"”»)]।؟。！？」』 9@-", "abc. ", "...", " at ", " at b.de", "x@y.de", "(at)", "[at]", " dot ", "(dot)"]
+    for _ in range(4000):
+        t = "".join(rng.choice(alphabet) for _ in range(rng.randint(1, 40)))
+        assert [m.span() for m in language._SPLIT.finditer(t)] == [m.span() for m in split.finditer(t)], t
+        assert language._usable(t) == (mail.sub(" ", t) if "@" in t or " at " in t or "(at)" in t or "[at]" in t else t), t
+
+
+def test_p7_scores_of_a_batch_are_those_of_each_text():
+    rng = random.Random(8)
+    few = ["", " ", "a", "Die Bank.", "b" * 3, "наш банк", "銀行の口座", *(words(rng, rng.randint(1, 9)) for _ in range(40))]
+    weights = np.random.default_rng(8).standard_normal((language.SLOTS, len(language.CODES))).astype(np.float32)
+    got, letters = language.scores(few, weights)
+    for t, g, n in zip(few, got, letters):
+        slots, starts, own = language.presence([t])
+        assert len(set(slots)) == len(slots) == starts[1] and own[0] == n == len(t.replace(" ", "").replace(".", ""))
+        assert np.allclose(g, weights[slots].sum(0) / np.sqrt(max(1, len(slots))), atol=1e-5)
+    # more rows than a number of 32 bits holds beside the slot
+    slots, starts, own = language.presence(few)
+    many, at, n = language.presence([*few, *[""] * (1 << 15)])
+    assert np.array_equal(many[: len(slots)], slots) and np.array_equal(at[: len(few) + 1], starts) and np.array_equal(n[: len(few)], own)
+
+
 def test_p8_round_trip_and_library(spark):
     if not os.path.exists(f"{tokenize.TOKENIZER_DIR}/byte_bpe_50k.json"):
         pytest.skip("no vocabularies")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import code_points, map_arrow, slices, spread
+from .common import map_arrow, slices, spread
 from .languages import CODES, label_language
 from .normalize import canonical
 from .sentences import _TABLE_ROW
@@ -45,8 +45,12 @@ LEAST_CONFIDENCE = 0.75
 SLICE = 250_000
 
 _UNIT = re.compile(r"[^\r\n]+")
-_SPLIT = re.compile(r"[.!?]+[\"”»)\]]*[^\S\n]+|[।؟]\s+|[。！？]+(?![」』”])")
-_MAIL = re.compile(r"[!-~]+ ?(?:@|\(at\)|\[at\]) ?[!-~]+(?:(?: ?[(\[]dot[)\]] ?| dot )[a-z-]+)*|[!-~]+ at [a-z0-9-]+(?:\.[a-z-]+)+")
+# begins with the set of all marks, so that the scan for the next one is a plain search; a run of Latin marks is tried at its start only, which decides for all of it
+_SPLIT = re.compile(r"[.!?।؟。！？](?:(?<=[.!?])(?<![.!?]{2})[.!?]*+[\"”»)\]]*[^\S\n]+|(?<=[।؟])\s+|(?<=[。！？])[。！？]*(?![」』”]))")
+#: An address, or a token that no address starts in: what fails at its first character fails at all others.
+_MAIL = re.compile(r"([!-~]+ ?(?:@|\(at\)|\[at\]) ?[!-~]+(?:(?: ?[(\[]dot[)\]] ?| dot )[a-z-]+)*|[!-~]+ at [a-z0-9-]+(?:\.[a-z-]+)+)|[!-~]+")
+#: What an address without a sign or bracket holds.
+_SPELT = re.compile(r" at [a-z0-9-]+\.[a-z-]")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿]")
 
@@ -91,8 +95,8 @@ def units(text: str) -> list[tuple[int, int]]:
 
 def presence(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(slot ids, row starts into them, letters per row): the distinct hashed n-grams of each text."""
-    codes, off = code_points(pa.array(texts, pa.string()))
-    codes, off = canonical(codes, off)
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    codes, off = canonical(codes, np.concatenate(([0], np.cumsum([len(t) for t in texts], dtype=np.int64))))
     rows = np.repeat(np.arange(len(texts)), np.diff(off))
     c = _fold_table()[codes]
     # ASCII tokens with a digit or sign of a code in them say nothing about the language
@@ -115,7 +119,13 @@ def presence(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     c, rows = c[keep], rows[keep]
     at = np.searchsorted(rows, np.arange(len(texts)))
     c, rows = np.insert(c, at, 0x20), np.insert(rows, at, np.arange(len(texts)))
-    keys = []
+    at += np.arange(len(texts))
+    # row and slot in one number, 32 bits wide while the rows fit; n-grams across a border of rows and lone spaces go to the end
+    kind = np.uint32 if len(texts) < 1 << 32 - SLOT_BITS else np.uint64
+    rows = rows.astype(kind) << kind(SLOT_BITS)
+    border = at[1:]
+    key = np.empty(sum(max(0, len(c) - k + 1) for k in ORDERS), kind)
+    none, done = kind(np.iinfo(kind).max), 0
     h = np.zeros(len(c), np.uint32)
     for k in ORDERS:
         n = len(c) - k + 1
@@ -124,16 +134,21 @@ def presence(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         h = h[:n] * np.uint32(0x01000193) + (c[k - 1 :] + np.uint32(k)) * np.uint32(0x9E3779B1)
         g = h * np.uint32(0x85EBCA6B)
         g ^= g >> np.uint32(15)
-        g = (g * np.uint32(0xC2B2AE35)) >> np.uint32(32 - SLOT_BITS)
-        ok = rows[:n] == rows[k - 1 :]
+        g *= np.uint32(0xC2B2AE35)
+        g >>= np.uint32(32 - SLOT_BITS)
+        part = key[done : done + n]
+        np.bitwise_or(rows[:n], g, out=part)
         if k == 1:
-            ok &= c != 0x20
-        keys.append(rows[:n][ok].astype(np.uint64) << np.uint64(SLOT_BITS) | g[ok])
-    key = np.sort(np.concatenate(keys)) if keys else np.zeros(0, np.uint64)
+            part[c == 0x20] = none
+        for j in range(1, k):
+            across = border - j
+            part[across[(across >= 0) & (across < n)]] = none
+        done += n
+    key.sort()
+    key = key[: np.searchsorted(key, none)]
     key = key[np.concatenate(([True], key[1:] != key[:-1]))] if len(key) else key
-    row = (key >> np.uint64(SLOT_BITS)).astype(np.int64)
-    starts = np.searchsorted(row, np.arange(len(texts) + 1))
-    return (key & np.uint64(SLOTS - 1)).astype(np.int64), starts, letters
+    starts = np.searchsorted(key, np.arange(len(texts) + 1, dtype=np.uint64).astype(kind) << kind(SLOT_BITS)) if len(texts) else np.zeros(1, np.int64)
+    return (key & kind(SLOTS - 1)).astype(np.int64), starts, letters
 
 
 def _row_sums(matrix: np.ndarray, slots: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -145,13 +160,27 @@ def _row_sums(matrix: np.ndarray, slots: np.ndarray, starts: np.ndarray) -> np.n
     return out
 
 
+def _column_sums(columns: np.ndarray, slots: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """_row_sums of the transpose of columns, a few columns of many slots: one column at a time stays in the cache."""
+    out = np.zeros((len(starts) - 1, len(columns)), np.float32)
+    full = starts[1:] > starts[:-1]
+    if full.any():
+        at = starts[:-1][full]
+        values, sums = np.empty(len(slots), np.float32), np.empty((len(columns), len(at)), np.float32)
+        for k, column in enumerate(columns):
+            np.add.reduceat(np.take(column, slots, out=values, mode="clip"), at, out=sums[k])
+        out[full] = sums.T
+    return out
+
+
 def scores(texts: list[str], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(score of each text and language, letters of each text)."""
     outs, letters = [], []
+    columns = np.ascontiguousarray(weights.T, np.float32)
     for i, j in slices(np.array([len(t) + 2 for t in texts]), SLICE):
         slots, starts, n = presence(texts[i:j])
         own = np.sqrt(np.maximum(1, np.diff(starts)))[:, None]
-        outs.append(_row_sums(weights, slots, starts) / own)
+        outs.append(_column_sums(columns, slots, starts) / own)
         letters.append(n)
     if not outs:
         return np.zeros((0, len(CODES)), np.float32), np.zeros(0, np.int64)
@@ -179,7 +208,8 @@ def fit_weights(texts: list[str], labels: np.ndarray, seed: int = 7) -> np.ndarr
     w = 1 / np.bincount(labels, minlength=len(CODES))[labels]
     a = phi.T @ (phi * w[:, None]) + RIDGE * np.eye(phi.shape[1])
     alpha = root @ np.linalg.solve(a, phi.T @ (y * w[:, None]))
-    return (z @ alpha.astype(np.float32)).astype(np.float32)
+    # by columns, as scores reads them
+    return np.asfortranarray(z @ alpha.astype(np.float32), np.float32)
 
 
 def _blocks(z: np.ndarray, slots: np.ndarray, starts: np.ndarray, rows: int = 256) -> np.ndarray:
@@ -188,7 +218,7 @@ def _blocks(z: np.ndarray, slots: np.ndarray, starts: np.ndarray, rows: int = 25
 
 def _usable(t: str) -> str:
     """t without e-mail addresses."""
-    return _MAIL.sub(" ", t) if "@" in t or " at " in t or "(at)" in t or "[at]" in t else t
+    return _MAIL.sub(lambda m: " " if m[1] else m[0], t) if "@" in t or "(at)" in t or "[at]" in t or _SPELT.search(t) else t
 
 
 def fit(df: DataFrame) -> np.ndarray:
@@ -246,7 +276,7 @@ def save_weights(weights: np.ndarray, spark: SparkSession, path: str) -> None:
 
 def load_weights(spark: SparkSession, path: str) -> np.ndarray:
     """Weights saved before; at most SLOTS rows."""
-    out = np.zeros((SLOTS, len(CODES)), np.float32)
+    out = np.zeros((SLOTS, len(CODES)), np.float32, order="F")
     for r in spark.read.parquet(path).collect():
         out[r.slot] = r.weights
     return out
@@ -256,42 +286,41 @@ def _margin(letters: int) -> float:
     return next(m for n, m in MARGIN if letters <= n)
 
 
-def segments(text: str, spans: list[tuple[int, int]], got: np.ndarray, letters: np.ndarray) -> tuple[int, list[tuple[int, int, int, float]]]:
-    """(main language, [(start, end, language, confidence)]) of a document from the scores of its units; neighbours of one language are one segment."""
-    usable = letters > 0
-    if not usable.any():
+def segments(text: str, spans: list[tuple[int, int]], got: np.ndarray, letters: np.ndarray, probability: np.ndarray) -> tuple[int, list[tuple[int, int, int, float]]]:
+    """(main language, [(start, end, language, confidence)]) of a document from the scores and probabilities of its units; neighbours of one language are one segment."""
+    if not letters.any():
         return -1, []
     total = (got * np.minimum(letters, 400)[:, None]).sum(0)
     main = int(total.argmax())
     best = got.argmax(1)
     # the main language is that of most letters
-    held = np.bincount(best[usable], weights=letters[usable], minlength=len(CODES))
+    held = np.bincount(best, weights=letters, minlength=len(CODES))
     if held.argmax() != main and held.max() > 1.2 * held[main]:
         main = int(held.argmax())
-    probability = np.exp(SHARPNESS * (got - got.max(1, keepdims=True)))
-    probability /= probability.sum(1, keepdims=True)
     out: list[list] = []
-    for k, (a, b) in enumerate(spans):
-        if not usable[k]:
+    for k, ((a, b), lang, n, sure) in enumerate(zip(spans, best.tolist(), letters.tolist(), probability[:, main].tolist())):
+        if not n:
             continue
-        lang = int(best[k])
         if lang != main:
             t = text[a:b]
             words = [w for w in _LETTERS.findall(_usable(t)) if len(w) > 1 or not w.isascii() or w.islower()]
-            scaled = letters[k] * (3 if _CJK.search(t) else 1)
+            scaled = n * (3 if _CJK.search(t) else 1)
             plain = sum(w[0].islower() or w.lower() == w.upper() for w in words)
             if (len(words) < 2 and not _CJK.search(t)) or scaled < 10 or plain == 0 or got[k, lang] - got[k, main] < _margin(scaled) or probability[k, lang] < LEAST_CONFIDENCE:
                 lang = main
+            else:
+                sure = float(probability[k, lang])
         if out and out[-1][2] == lang:
-            w = out[-1][4]
-            out[-1][3] = (out[-1][3] * w + float(probability[k, lang]) * letters[k]) / (w + letters[k])
-            out[-1][1], out[-1][4] = b, w + letters[k]
+            last = out[-1]
+            w = last[4]
+            last[3] = (last[3] * w + sure * n) / (w + n)
+            last[1], last[4] = b, w + n
         else:
-            out.append([a, b, lang, float(probability[k, lang]), int(letters[k])])
-    held = np.zeros(len(CODES))
+            out.append([a, b, lang, sure, n])
+    by_lang = [0] * len(CODES)
     for s in out:
-        held[s[2]] += s[4]
-    return int(held.argmax()), [tuple(s[:4]) for s in out]
+        by_lang[s[2]] += s[4]
+    return by_lang.index(max(by_lang)), [tuple(s[:4]) for s in out]
 
 
 def classify(df: DataFrame, weights: np.ndarray | None = None) -> DataFrame:
@@ -300,25 +329,32 @@ def classify(df: DataFrame, weights: np.ndarray | None = None) -> DataFrame:
     shared = sc.broadcast(weights_of(df) if weights is None else weights)
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids, labels, texts = (c.to_pylist() for c in batch.columns)
+        labels, texts = (c.to_pylist() for c in batch.columns[1:])
         flat, spans = [], []
         for t in texts:
             u = units(t)
             spans.append(u)
             flat += [_usable(t[a:b]) for a, b in u]
         got, letters = scores(flat, shared.value)
-        rows, at = [], 0
-        for i, label, t, u in zip(ids, labels, texts, spans):
-            main, segs = segments(t, u, got[at : at + len(u)], letters[at : at + len(u)])
-            at += len(u)
+        probability = np.exp(SHARPNESS * (got - got.max(1, keepdims=True)))
+        probability /= probability.sum(1, keepdims=True)
+        mains, sure, parts, ends, at = [], [], [], [0], 0
+        for t, u in zip(texts, spans):
+            here = slice(at, at := at + len(u))
+            main, segs = segments(t, u, got[here], letters[here], probability[here])
             own = [s for s in segs if s[2] == main]
             size = sum(s[1] - s[0] for s in own)
-            rows.append({
-                "doc_id": i, "lang": label_language(label), "n_chars": len(t.strip()), "main_lang": CODES[main] if main >= 0 else None,
-                "confidence": sum(s[3] * (s[1] - s[0]) for s in own) / size if size else None,
-                "segments": [{"start_pos": a, "end_pos": b, "lang": CODES[k], "confidence": c} for a, b, k, c in segs],
-            })
-        return pa.RecordBatch.from_pylist(rows, schema=_ARROW)
+            mains.append(CODES[main] if main >= 0 else None)
+            sure.append(sum(s[3] * (s[1] - s[0]) for s in own) / size if size else None)
+            parts += segs
+            ends.append(len(parts))
+        start, end, lang, confidence = zip(*parts) if parts else ((), (), (), ())
+        kinds = _ARROW.field("segments").type
+        inner = pa.StructArray.from_arrays([pa.array(v, f.type) for v, f in zip((start, end, [CODES[k] for k in lang], confidence), kinds.value_type)], fields=list(kinds.value_type))
+        return pa.RecordBatch.from_arrays([
+            batch.column(0), pa.array([label_language(x) for x in labels], pa.string()), pa.array([len(t.strip()) for t in texts], pa.int32()), pa.array(mains, pa.string()),
+            pa.array(sure, pa.float64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), inner, type=kinds),
+        ], schema=_ARROW)
 
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
     return map_arrow(spread(docs), fn, "doc_id long, lang string, n_chars int, main_lang string, confidence double, segments array<struct<start_pos int, end_pos int, lang string, confidence double>>")
